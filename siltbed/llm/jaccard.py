@@ -1 +1,291 @@
-def components(docs): raise NotImplementedError
+"""N-gram Jaccard join by T-occurrence search.
+
+Two documents link when the Jaccard similarity of their sets of word shingles
+is at least ``share`` percent; the result is exact.  The search for partners
+follows DivideSkip on two levels.
+
+Across the cluster, the inverted lists of a document's shingles are divided
+into short and long ones by one order for all documents: shingles outside
+the table of frequent ones first, then frequent ones by rising count.  All but
+the overlap that a partner must have, less one, are merged: partners share at
+least one of these short lists, so only they are shuffled.  The table of
+frequent shingles has a fixed size and steers cost alone, any order gives the
+same links.
+
+Within a task, a query meets a block of candidates: the lists of its shingles
+over the block are built, the shortest are merged by a heap, candidates with
+enough occurrences are looked up in the long lists by binary search, and
+those that reach the overlap required for both sizes are links.
+
+Documents with equal sets are one node, the smallest doc_id of them.  In a
+first pass each list is compared with its most central document only, which
+unites groups of near copies at a cost linear in their size.  In a second pass
+all pairs of a list whose documents are still in different components are
+compared, as far as their sizes and the places in the lists leave a link
+possible.  Pairs inside a component can not change it, so no link between
+components is lost.
+
+Defined cases: texts without words and null texts have no shingles and link
+with nothing; with fewer words than a shingle has, the whole sequence is one
+shingle; rows that share a doc_id count as one document with several texts;
+rows with a null doc_id get a null component; an empty table gives an empty
+result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import heapq
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import connected
+from .scratch import written
+from .textarrays import LOWER, as_long, hash_runs, sequence_hash, slices, window_hashes, word_table
+
+SHINGLE = 5
+#: Frequent shingles: rows of the table, least count in it, least count in one batch of a task, shingles of a batch.
+FREQUENT, LEAST, LEAST_HERE, BATCH = 1 << 17, 16, 3, 4_000_000
+#: Candidates compared with a query at a time; buckets of the filter on the texts that are read again.
+BLOCK, BUCKETS = 256, 1 << 20
+
+
+def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
+    """Each row's distinct shingles as ascending 64-bit hashes."""
+    data = LOWER[data]
+    starts, ends, first = word_table(offsets, data)
+    words = hash_runs(data, starts, ends)
+    windows = window_hashes(words, size)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(windows[a : b - size + 1]))
+        else:
+            out.append(np.array([sequence_hash(words[a:b], b - a)] if b > a else [], np.uint64))
+    return out
+
+
+def least_overlap(n: int, m: int, share: int) -> int:
+    """Common shingles that sets of n and m need: the least o with 100 o >= share (n + m - o)."""
+    return -(-share * (n + m) // (100 + share))
+
+
+# ---- what all documents tell: sizes, keys of equal sets, frequent shingles
+
+
+def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["kind", "a", "b", "c", "d"]
+    held: list[np.ndarray] = []
+    n_held, seen = 0, set()
+
+    def frequent() -> Iterator[pa.RecordBatch]:
+        tokens, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        often = count >= LEAST_HERE
+        n = int(often.sum())
+        if n:
+            zero = pa.array(np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(as_long(tokens[often])), pa.array(count[often]), zero, zero], names=names)
+
+    for rows, offsets, data in slices(batches):
+        keys = []
+        for s in shingle_sets(offsets, data):
+            key = (sequence_hash(s, 1), sequence_hash(s, 2), len(s))
+            keys.append(key)
+            if len(s) and key not in seen:
+                seen.add(key)
+                held.append(s)
+                n_held += len(s)
+        one, two, n = (np.array([k[i] for k in keys], np.uint64 if i < 2 else np.int64) for i in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), rows.column(0), pa.array(as_long(one)), pa.array(as_long(two)), pa.array(n)], names=names)
+        if n_held >= BATCH:
+            yield from frequent()
+            held, n_held, seen = [], 0, set()
+    yield from frequent()
+
+
+def _prefixes(batches: Iterable[pa.RecordBatch], tokens: np.ndarray, rank: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
+    """Each document's short lists, in the common order, and how many of them are of no frequent shingle."""
+    for rows, offsets, data in slices(batches):
+        ids, size, light, common, lists = [], [], [], [], []
+        for doc, s in zip(rows.column(0).to_pylist(), shingle_sets(offsets, data), strict=True):
+            n = len(s)
+            if not n:
+                continue
+            at = np.searchsorted(tokens, s)
+            often = tokens[np.minimum(at, len(tokens) - 1)] == s if len(tokens) else np.zeros(n, bool)
+            own = s[often]
+            ordered = np.concatenate([s[~often], own[np.argsort(rank[at[often]])]]) if often.any() else s
+            taken = n + share * n // -100 + 1  # n - ceil(share n / 100) + 1
+            ids.append(doc)
+            size.append(n)
+            light.append(min(taken, n - len(own)))
+            common.append(100 * len(own) // n)
+            lists.append(as_long(ordered[:taken]))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(light, pa.int32()), pa.array(common, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "size", "light", "common", "tokens"])
+
+
+# ---- comparison in a task
+
+
+def divide_skip(lists: list[np.ndarray], least: int, needed: list[int]) -> list[int]:
+    """The candidates that occur in ``needed`` or more of the lists.
+
+    ``lists`` are ascending numbers of candidates, one list for each shingle of the query;
+    ``needed`` has the threshold of each candidate and ``least`` the smallest of them.
+    """
+    lists = sorted((x for x in lists if len(x)), key=len)
+    if not lists or len(lists) < least:
+        return []
+    n_long = min(least - 1, int(least / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
+    split = len(lists) - n_long
+    found = []
+    long = [x.tolist() for x in lists[split:]]
+    for candidate, group in groupby(heapq.merge(*(x.tolist() for x in lists[:split]))):
+        count, rest, want = sum(1 for _ in group), n_long, needed[candidate]
+        if count + rest < want:
+            continue
+        for x in reversed(long):
+            at = bisect_left(x, candidate)
+            count += at < len(x) and x[at] == candidate
+            rest -= 1
+            if count + rest < want or count >= want:
+                break
+        if count >= want:
+            found.append(candidate)
+    return found
+
+
+def search(query: np.ndarray, candidates: list[np.ndarray], share: int) -> list[int]:
+    """Places of the candidates whose similarity with the query reaches ``share`` percent."""
+    needed = [least_overlap(len(query), len(c), share) for c in candidates]
+    sizes = np.array([len(c) for c in candidates])
+    flat = np.concatenate(candidates)
+    at = np.searchsorted(query, flat)
+    hit = np.flatnonzero(query[np.minimum(at, len(query) - 1)] == flat)
+    which = np.repeat(np.arange(len(candidates)), sizes)[hit]
+    at = at[hit]
+    order = np.argsort(at, kind="stable")
+    lists = np.split(which[order], np.searchsorted(at[order], np.arange(1, len(query))))
+    return divide_skip(lists, min(needed), needed)
+
+
+def _compare(batches: Iterable[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """Links, from rows (a, salt, b, text) sorted so that a query (b null) comes before its candidates."""
+    current, queries, ids, sets = None, [], [], []
+    out_u, out_v = [], []
+
+    def flush() -> None:
+        for q in queries if sets else ():
+            for i in search(q, sets, share):
+                out_u.append(current[0])
+                out_v.append(ids[i])
+        ids.clear()
+        sets.clear()
+
+    for rows, offsets, data in slices(batches):
+        for a, salt, b, s in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), shingle_sets(offsets, data), strict=True):
+            if (a, salt) != current:
+                flush()
+                current, queries = (a, salt), []
+            if not len(s):
+                continue
+            if b is None:
+                queries.append(s)
+            else:
+                ids.append(b)
+                sets.append(s)
+                if len(sets) == BLOCK:
+                    flush()
+    flush()
+    yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """The links (u, v) among distinct pairs (a, b); a query with many candidates is split into blocks."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    candidates = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), "b").join(texts.withColumnRenamed("doc_id", "b"), "b")
+    queries = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt")).join(texts.withColumnRenamed("doc_id", "a"), "a")
+    rows = queries.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(candidates.select("a", "salt", "b", "text"))
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(lambda it: _compare(it, share), "u long, v long")
+
+
+def _only(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.select([0, 1]).filter(pa.array(wanted[batch.column(2).to_numpy(zero_copy_only=False)]))
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of the documents in pairs.  A filter of fixed size spares the shuffle most of the others."""
+    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[nodes.select(bucket.alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
+    some = docs.where("doc_id is not null").select("doc_id", "text", bucket.alias("k")).mapInArrow(lambda it: _only(it, wanted), "doc_id long, text string")
+    return written(some.join(nodes, "doc_id", "left_semi"))
+
+
+def _near(a: str, b: str, share: int) -> Column:
+    return F.expr(f"100 * least({a}, {b}) >= {share} * greatest({a}, {b})")
+
+
+def components(docs: DataFrame, share: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id reachable by links."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    profile = written(docs.mapInArrow(_profile, "kind int, a long, b long, c long, d long"))
+    members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("k1"), F.col("c").alias("k2"), F.col("d").alias("n_shingles"))
+    classes = written(members.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node")))
+    often = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()
+    table = often["a"].to_numpy(np.int64).view(np.uint64)
+    by_token = np.argsort(table)
+    place = np.empty(len(table), np.int64)
+    place[np.lexsort((table, often["n"].to_numpy(np.int64)))] = np.arange(len(table))
+    tokens, rank = table[by_token], place[by_token]
+
+    own = docs.where("doc_id is not null").mapInArrow(lambda it: _prefixes(it, tokens, rank, share), "node long, size int, light int, common int, tokens array<long>")
+    own = own.join(classes.select("node").distinct(), "node")
+    lists = own.select("node", "size", "light", "common", F.posexplode("tokens").alias("place", "token"))
+    # A partner whose first common shingle stands at this place has at most so many shingles.
+    most = F.expr(f"cast(((100 + {share}) * (size - place) - {share} * size) div {share} as int)").alias("most")
+    lists = lists.select("token", "node", "size", most, "common", (F.col("place") >= F.col("light")).alias("often"))
+    shared = written(_lists(lists))
+
+    fits = (F.col("size") <= F.col("hub_most")) & (F.col("hub_size") <= F.col("most"))
+    first = written(shared.where("node <> hub").where(fits & _near("size", "hub_size", share)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = written(verified(first, _texts_of(first, docs), share))
+    labels = connected(links)
+    second = written(_across(shared, labels, share).join(first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
+    more = written(verified(second, _texts_of(second, docs), share))
+    roots = connected(links.unionByName(more))
+
+    known = members.join(classes, ["k1", "k2", "n_shingles"], "left").join(roots, "node", "left")
+    return known.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _lists(lists: DataFrame) -> DataFrame:
+    """The rows of lists with two documents or more, with the list's most central document as hub."""
+    hub = F.max(F.struct("common", (-F.col("node")).alias("minus"), "size", "most"))
+    by = Window.partitionBy("token")
+    short = lists.where("not often").withColumn("n", F.count("*").over(by)).where("n > 1").withColumn("h", hub.over(by)).drop("n")
+    frequent = lists.where("often")
+    hubs = frequent.groupBy("token").agg(hub.alias("h"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = short.unionByName(frequent.join(hubs, "token"))
+    return rows.select("token", "node", "size", "most", (-F.col("h.minus")).alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.most").alias("hub_most"))
+
+
+def _across(shared: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+    """Distinct pairs (a, b) of a list in different components that sizes and places leave possible."""
+    rows = shared.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("token", "node", "size", "most", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("size").alias("least"), F.max("most").alias("largest")).where("r < s").drop("r", "s")
+    # Rows that no partner in the list can fit.
+    rows = rows.join(mixed, "token").where("most >= least and size <= largest").drop("least", "largest")
+    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "most", "root")])
+    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "most", "root")])
+    pairs = x.join(y, "token").where("x_root <> y_root and x_node < y_node and x_size <= y_most and y_size <= x_most").where(_near("x_size", "y_size", share))
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
