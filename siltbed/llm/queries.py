@@ -90,7 +90,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+    ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in generate_series(1, len(w) - 4)]) END AS s FROM w),
 c AS (SELECT min(doc_id) AS node, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s),
 e AS (SELECT node, n, unnest(s) AS t FROM c),
 k AS (
