@@ -5,19 +5,20 @@ is at least ``share`` percent; the result is exact.  The search for partners
 follows DivideSkip on two levels.
 
 Across the cluster, the inverted lists of a document's shingles are divided
-into short and long ones by one order for all documents: shingles outside
-the table of frequent ones first, then frequent ones by rising count.  All but
-the overlap that a partner must have, less one, are merged: partners share at
-least one of these short lists, so only they are shuffled.  The table of
-frequent shingles has a fixed size and steers cost alone, any order gives the
-same links.
+into short and long ones by one order for all documents: by the number of
+documents in the list, then by hash.  All but the overlap that a partner must
+have, less one, are merged: partners share at least one of these short lists,
+so only they are shuffled, and of them only those with two documents or more.
+The lengths come from counts over all documents of 40 bits of each shingle's
+hash; two shingles with the same bits are counted together, which changes the
+order, the same way for all documents, and no link.
 
 Within a task, a query meets a block of candidates: the lists of its shingles
 over the block are built, the shortest are merged by a heap, candidates with
 enough occurrences are looked up in the long lists by binary search, and
 those that reach the overlap required for both sizes are links.
 
-Documents with equal sets are one node, the smallest doc_id of them.  In a
+Documents with the same words are one node, the smallest doc_id of them.  In a
 first pass each list is compared with its most central document only, which
 unites groups of near copies at a cost linear in their size.  In a second pass
 all pairs of a list whose documents are still in different components are
@@ -41,16 +42,20 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, table, totals_of
 from .components import connected
 from .scratch import written
 from .textarrays import LOWER, as_long, hash_runs, sequence_hash, slices, window_hashes, word_table
 
 SHINGLE = 5
-#: Frequent shingles: rows of the table, least count in it, least count in one batch of a task, shingles of a batch.
-FREQUENT, LEAST, LEAST_HERE, BATCH = 1 << 17, 16, 3, 4_000_000
+#: Bits of a shingle's hash in the counts; documents in a list from which on it is handled as a long one.
+BITS, LONG = 40, 64
+#: Bytes of text in a chunk, shingles in a part of the counts.
+CHUNK_BYTES, PART_KEYS = 8 << 20, 2_000_000
 #: Candidates compared with a query at a time; buckets of the filter on the texts that are read again.
 BLOCK, BUCKETS = 256, 1 << 20
 
@@ -75,59 +80,66 @@ def least_overlap(n: int, m: int, share: int) -> int:
     return -(-share * (n + m) // (100 + share))
 
 
-# ---- what all documents tell: sizes, keys of equal sets, frequent shingles
+# ---- what all documents tell: keys of equal texts, lengths of lists
 
 
 def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "a", "b", "c", "d"]
-    held: list[np.ndarray] = []
-    n_held, seen = 0, set()
-
-    def frequent() -> Iterator[pa.RecordBatch]:
-        tokens, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = count >= LEAST_HERE
-        n = int(often.sum())
-        if n:
-            zero = pa.array(np.zeros(n, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(as_long(tokens[often])), pa.array(count[often]), zero, zero], names=names)
-
-    for rows, offsets, data in slices(batches):
-        keys = []
-        for s in shingle_sets(offsets, data):
-            key = (sequence_hash(s, 1), sequence_hash(s, 2), len(s))
-            keys.append(key)
-            if len(s) and key not in seen:
-                seen.add(key)
-                held.append(s)
-                n_held += len(s)
-        one, two, n = (np.array([k[i] for k in keys], np.uint64 if i < 2 else np.int64) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), rows.column(0), pa.array(as_long(one)), pa.array(as_long(two)), pa.array(n)], names=names)
-        if n_held >= BATCH:
-            yield from frequent()
-            held, n_held, seen = [], 0, set()
-    yield from frequent()
-
-
-def _prefixes(batches: Iterable[pa.RecordBatch], tokens: np.ndarray, rank: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
-    """Each document's short lists, in the common order, and how many of them are of no frequent shingle."""
+    """A 128-bit key of each text's words, and the sizes of the work to come."""
     for rows, offsets, data in slices(batches):
-        ids, size, light, common, lists = [], [], [], [], []
-        for doc, s in zip(rows.column(0).to_pylist(), shingle_sets(offsets, data), strict=True):
-            n = len(s)
-            if not n:
-                continue
-            at = np.searchsorted(tokens, s)
-            often = tokens[np.minimum(at, len(tokens) - 1)] == s if len(tokens) else np.zeros(n, bool)
-            own = s[often]
-            ordered = np.concatenate([s[~often], own[np.argsort(rank[at[often]])]]) if often.any() else s
-            taken = n + share * n // -100 + 1  # n - ceil(share n / 100) + 1
-            ids.append(doc)
-            size.append(n)
-            light.append(min(taken, n - len(own)))
-            common.append(100 * len(own) // n)
-            lists.append(as_long(ordered[:taken]))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(light, pa.int32()), pa.array(common, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "size", "light", "common", "tokens"])
+        data = LOWER[data]
+        starts, ends, first = word_table(offsets, data)
+        words = hash_runs(data, starts, ends)
+        spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+        keys = [as_long(np.array([sequence_hash(words[a:b], salt) for a, b in spans], np.uint64)) for salt in (1, 2)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, keys), pa.array(np.diff(first)), pa.array(np.diff(offsets))], names=["doc_id", "k1", "k2", "n_words", "n_bytes"])
+
+
+def _nodes_of(docs: pa.Table, side: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """The shingle sets of a chunk's documents that stand for their copies; repeated doc_ids each by itself."""
+    nodes = side["node"].drop_null().to_numpy()
+    some = docs.filter(pa.array(np.isin(docs["doc_id"].to_numpy(), nodes))).select(["doc_id", "text"]).combine_chunks()
+    for rows, offsets, data in slices(some.to_batches()):
+        yield from zip(rows.column(0).to_pylist(), shingle_sets(offsets, data), strict=True)
+
+
+def _count(docs: pa.Table, side: pa.Table, parts: int) -> pa.Table:
+    sets = [s for _, s in _nodes_of(docs, side)]
+    prints, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - BITS), return_counts=True)
+    return table(split(docs["chunk"][0].as_py(), 1, prints, counts, parts, BITS) if len(prints) else [])
+
+
+_LISTS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("common", pa.int32()), ("token", pa.int64()), ("place", pa.int32()), ("often", pa.bool_())])
+
+
+def _prefixes(docs: pa.Table, side: pa.Table, share: int) -> pa.Table:
+    """Each document's short lists that hold others too, in the common order, and a row without a list."""
+    held = list(_nodes_of(docs, side))
+    sets = [s for _, s in held]
+    all_tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    _, back = np.unique(all_tokens >> np.uint64(64 - BITS), return_inverse=True)
+    lengths = totals_of(side.filter(pc.is_valid(side["totals"])), 1)[back] if len(back) else back
+    node, size, common, token, place, often = ([] for _ in range(6))
+    at = 0
+    for doc, s in held:
+        n = len(s)
+        own = lengths[at : at + n]
+        at += n
+        taken = n - -(-share * n // 100) + 1 if n else 0
+        alone = int((own == 1).sum())
+        chosen = np.zeros(0, np.int64)
+        if alone < taken:
+            rest = np.flatnonzero(own > 1)
+            chosen = rest[np.argsort(own[rest], kind="stable")][: taken - alone]
+        k = len(chosen)
+        node.append(np.full(k + 1, doc, np.int64))
+        size.append(np.full(k + 1, n, np.int32))
+        common.append(np.full(k + 1, 100 * (n - alone) // max(n, 1), np.int32))
+        token.append(np.append(as_long(s[chosen]), 0))
+        place.append(np.append(np.arange(alone, alone + k), -1).astype(np.int32))
+        often.append(np.append(own[chosen] >= LONG, False))
+    flat = [np.concatenate([*x, np.zeros(0, k)]) for x, k in ((node, np.int64), (size, np.int32), (common, np.int32), (token, np.int64), (place, np.int32), (often, bool))]
+    columns = [pa.array(c, f.type) for c, f in zip(flat, _LISTS, strict=True)]
+    return pa.Table.from_arrays(columns, schema=_LISTS)
 
 
 # ---- comparison in a task
@@ -235,26 +247,25 @@ def _near(a: str, b: str, share: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {share} * greatest({a}, {b})")
 
 
-def components(docs: DataFrame, share: int = 80) -> DataFrame:
+def components(docs: DataFrame, share: int = 80, chunk_bytes: int = CHUNK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = written(docs.mapInArrow(_profile, "kind int, a long, b long, c long, d long"))
-    members = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("k1"), F.col("c").alias("k2"), F.col("d").alias("n_shingles"))
-    classes = written(members.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node")))
-    often = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()
-    table = often["a"].to_numpy(np.int64).view(np.uint64)
-    by_token = np.argsort(table)
-    place = np.empty(len(table), np.int64)
-    place[np.lexsort((table, often["n"].to_numpy(np.int64)))] = np.arange(len(table))
-    tokens, rank = table[by_token], place[by_token]
-
-    own = docs.where("doc_id is not null").mapInArrow(lambda it: _prefixes(it, tokens, rank, share), "node long, size int, light int, common int, tokens array<long>")
-    own = own.join(classes.select("node").distinct(), "node")
-    lists = own.select("node", "size", "light", "common", F.posexplode("tokens").alias("place", "token"))
+    members = written(docs.mapInArrow(_profile, "doc_id long, k1 long, k2 long, n_words long, n_bytes long"))
+    total = members.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    chunks, parts = 1 + total[0] // chunk_bytes, 1 + total[1] // part_keys
+    classes = written(members.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
+
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
+    dealt = docs.where("doc_id is not null").select("doc_id", "text", chunk("doc_id"))
+    nodes = classes.select("node", chunk("node")).distinct()
+    counted = dealt.groupBy("chunk").cogroup(nodes.groupBy("chunk")).applyInArrow(lambda d, n: _count(d, n, parts), COUNT_SCHEMA)
+    totals = counted.groupBy("part").applyInArrow(add_part, TOTAL_SCHEMA)
+    side = nodes.unionByName(totals, allowMissingColumns=True)
+    lists = written(dealt.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(lambda d, n: _prefixes(d, n, share), "node long, size int, common int, token long, place int, often boolean"))
     # A partner whose first common shingle stands at this place has at most so many shingles.
     most = F.expr(f"cast(((100 + {share}) * (size - place) - {share} * size) div {share} as int)").alias("most")
-    lists = lists.select("token", "node", "size", most, "common", (F.col("place") >= F.col("light")).alias("often"))
-    shared = written(_lists(lists))
+    shared = written(_lists(lists.where("place >= 0").select("token", "node", "size", most, "common", "often")))
+    sizes = lists.where("place < 0").groupBy("node").agg(F.max("size").cast("long").alias("n_shingles"))
 
     fits = (F.col("size") <= F.col("hub_most")) & (F.col("hub_size") <= F.col("most"))
     first = written(shared.where("node <> hub").where(fits & _near("size", "hub_size", share)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
@@ -264,8 +275,8 @@ def components(docs: DataFrame, share: int = 80) -> DataFrame:
     more = written(verified(second, _texts_of(second, docs), share))
     roots = connected(links.unionByName(more))
 
-    known = members.join(classes, ["k1", "k2", "n_shingles"], "left").join(roots, "node", "left")
-    return known.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = members.join(classes, ["k1", "k2"], "left").join(sizes.join(roots, "node", "left"), "node", "left")
+    return known.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _lists(lists: DataFrame) -> DataFrame:

@@ -25,10 +25,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, table, totals_of
 from .textarrays import LOWER, hash_runs, slices, window_hashes, word_table
 
 CHUNK_BYTES, PART_GRAMS = 8 << 20, 2_000_000
@@ -64,50 +64,13 @@ def _grams(words: np.ndarray, first: np.ndarray, m: int) -> tuple[np.ndarray, np
     return hashes[inside], inside + m - 1
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, for the shuffle's compression."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _from_planes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
-def _part_edges(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64)) // parts
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, np.array(edges, np.uint64)), [len(sorted_hashes)]])
-
-
-def _count_chunk(table: pa.Table, order: int, parts: int) -> pa.Table:
-    chunk = table["chunk"][0].as_py()
-    words, first = _words(table)
+def _count_chunk(docs: pa.Table, order: int, parts: int) -> pa.Table:
+    chunk = docs["chunk"][0].as_py()
+    words, first = _words(docs)
     rows = []
     for m in range(1, order + 1):
-        grams, count = np.unique(_grams(words, first, m)[0], return_counts=True)
-        edges = _part_edges(grams, parts)
-        for p in range(parts):
-            a, b = edges[p], edges[p + 1]
-            if b > a:
-                own = grams[a:b]
-                rows.append((chunk, p, m, _planes(np.diff(own, prepend=np.uint64(0))), _planes(count[a:b].astype(np.uint32))))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "part", "m", "grams", "counts"])
-
-
-def _add_part(table: pa.Table) -> pa.Table:
-    out = []
-    for m in sorted(set(table["m"].to_pylist())):
-        own = table.filter(pa.compute.equal(table["m"], m))
-        lists = [np.cumsum(_from_planes(x.as_py(), np.uint64), dtype=np.uint64) for x in own["grams"]]
-        counts = np.concatenate([_from_planes(x.as_py(), np.uint32) for x in own["counts"]])
-        _, back = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(back, counts).astype(np.uint64)[back]
-        at = np.cumsum([0, *map(len, lists)])
-        out += [(c, p, m, _planes(total[a:b])) for c, p, a, b in zip(own["chunk"].to_pylist(), own["part"].to_pylist(), at[:-1], at[1:], strict=True)]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "part", "m", "totals"])
+        rows += split(chunk, m, *np.unique(_grams(words, first, m)[0], return_counts=True), parts)
+    return table(rows)
 
 
 def _score_chunk(docs: pa.Table, totals: pa.Table, order: int, alpha: float, n_all: int, leave_out: bool) -> pa.Table:
@@ -116,8 +79,7 @@ def _score_chunk(docs: pa.Table, totals: pa.Table, order: int, alpha: float, n_a
     row = np.repeat(np.arange(len(n_words)), n_words)
     held: dict[int, np.ndarray] = {}
     for m in range(1, order + 1):
-        own = totals.filter(pa.compute.equal(totals["m"], m)).sort_by("part")
-        held[m] = np.concatenate([_from_planes(x.as_py(), np.uint64) for x in own["totals"]] or [np.zeros(0, np.uint64)]).astype(np.float64)
+        held[m] = totals_of(totals, m).astype(np.float64)
     rest = n_all - (n_words[row] if leave_out else 0)
     score = backed = context = None
     for m in range(1, order + 1):
@@ -155,6 +117,6 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_ou
     chunks, n_all = 1 + size[0] // chunk_bytes, size[1]
     parts = 1 + order * size[1] // part_grams
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    counted = dealt.groupBy("chunk").applyInArrow(lambda t: _count_chunk(t, order, parts), "chunk int, part int, m int, grams binary, counts binary")
-    totals = counted.groupBy("part").applyInArrow(_add_part, "chunk int, part int, m int, totals binary")
+    counted = dealt.groupBy("chunk").applyInArrow(lambda t: _count_chunk(t, order, parts), COUNT_SCHEMA)
+    totals = counted.groupBy("part").applyInArrow(add_part, TOTAL_SCHEMA)
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lambda d, t: _score_chunk(d, t, order, alpha, n_all, leave_out), SCHEMA)
