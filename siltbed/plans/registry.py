@@ -1,3 +1,6 @@
 """Queries by name, and the SQL that gives the same rows."""
-QUERIES = {}
-ORACLE_SQL = {}
+
+from . import feed_queries, object_queries, rule_queries  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
