@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of FNV-1a.
 OFFSET_32, PRIME_32 = 0x811C9DC5, 0x01000193
@@ -39,18 +40,18 @@ def crc32c(data: bytes) -> int:
     return value ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(T.DecimalType(20, 0))
 def fnv1a_64(names: pd.Series) -> pd.Series:
     from decimal import Decimal
 
     return names.map(lambda x: None if x is None else Decimal(fnv1a(x.encode())))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a_32(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else fnv1a(x.encode(), 32)).astype("Int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_of(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else crc32c(x.encode())).astype("Int64")

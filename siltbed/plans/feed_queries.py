@@ -99,14 +99,14 @@ def union(t: Tables) -> DataFrame:
     return log.where("source = 'base'").unionByName(log.where("source = 'log'")).groupBy("source").agg(F.count("*").alias("n"), F.sum("val").alias("total"))
 
 
-@query("s26_point_next_prev", "SELECT 'next' AS what, min(key) AS key FROM item_log WHERE key >= 77 UNION ALL SELECT 'prev', max(key) FROM item_log WHERE key <= 77 UNION ALL SELECT DISTINCT 'at', key FROM item_log WHERE key = 77", "item_log")
+@query("s26_point_next_prev", "SELECT what, key FROM (SELECT 'next' AS what, min(key) AS key FROM item_log WHERE key >= 77 UNION ALL SELECT 'prev', max(key) FROM item_log WHERE key <= 77 UNION ALL SELECT DISTINCT 'at', key FROM item_log WHERE key = 77) WHERE key IS NOT NULL", "item_log")
 def neighbours(t: Tables) -> DataFrame:
     log = t.item_log()
     named = lambda df, what: df.select(F.lit(what).alias("what"), "key")
     return named(forest.next_key(log, "key", 77), "next").unionByName(named(forest.next_key(log, "key", 77, before=True), "prev")).unionByName(named(log.where("key = 77").select("key").distinct(), "at"))
 
 
-@query("s29_next_live_key", f"WITH n AS ({_NEWEST}) SELECT min(key) AS key FROM n WHERE NOT is_delete AND key BETWEEN 30 AND 90", "item_log")
+@query("s29_next_live_key", f"WITH n AS ({_NEWEST}) SELECT min(key) AS key FROM n WHERE NOT is_delete AND key BETWEEN 30 AND 90 HAVING count(*) > 0", "item_log")
 def next_live(t: Tables) -> DataFrame:
     return forest.next_key(forest.newest(t.item_log(), ["key"]).where("key <= 90"), "key", 30)
 
