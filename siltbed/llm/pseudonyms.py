@@ -20,6 +20,8 @@ an empty table gives an empty result; other columns are kept as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,18 +47,26 @@ def _power(base: int, n: Column) -> Column:
     return F.round(F.pow(F.lit(float(base)), n)).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def feistel(x: Column, a: Column, b: Column, key: str, kind: str, tweak: Column) -> Column:
     """A keyed permutation of 0 .. a*b - 1."""
 
-    def noise(i: Column, v: Column, m: Column) -> Column:
-        return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), tweak.cast("string"), i.cast("string"), v.cast("string")), 256), 1, 12), 16, 10).cast("long") % m
+    def noise(c: Column, i: Column, v: Column) -> Column:
+        return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), c["tweak"], i.cast("string"), v.cast("string")), 256), 1, 12), 16, 10).cast("long")
 
-    def turn(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        return F.struct(F.when(even, (s["a"] + noise(i, s["b"], a)) % a).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise((s["b"] + noise(i, s["a"], b)) % b).alias("b"))
+    def rounds(c: Column) -> Column:
+        def turn(s: Column, i: Column) -> Column:
+            moved = F.when(i % 2 == 0, (s["a"] + noise(c, i, s["b"])) % c["a"]).otherwise((s["b"] + noise(c, i, s["a"])) % c["b"])
+            return let(moved, lambda v: F.struct(F.when(i % 2 == 0, v).otherwise(s["a"]).alias("a"), F.when(i % 2 == 0, s["b"]).otherwise(v).alias("b")))
 
-    begin = F.struct(_div(x, b).alias("a"), (x % b).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, turn, lambda s: s["a"] * b + s["b"])
+        begin = F.struct(_div(c["x"], c["b"]).alias("a"), (c["x"] % c["b"]).alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, turn, lambda s: s["a"] * c["b"] + s["b"])
+
+    return let(F.struct(x.alias("x"), a.alias("a"), b.alias("b"), tweak.cast("string").alias("tweak")), rounds)
 
 
 def _div(x: Column, y: Column) -> Column:
@@ -65,11 +75,13 @@ def _div(x: Column, y: Column) -> Column:
 
 def _digits(s: Column, base: int, key: str, kind: str, tweak: Column) -> Column:
     """Permutes a numeral of a given base within its length; at most 62 bits."""
-    n = F.length(s)
-    half = _div(n, F.lit(2)).cast("int")
-    value = F.conv(s, base, 10).cast("long")
-    moved = feistel(value, _power(base, half), _power(base, n - half), key, kind, F.concat_ws(",", n.cast("string"), tweak.cast("string")))
-    return F.lpad(F.lower(F.conv(moved.cast("string"), 10, base)), n, F.lit("0"))
+
+    def move(c: Column) -> Column:
+        half = _div(c["n"], F.lit(2)).cast("int")
+        moved = feistel(F.conv(c["s"], base, 10).cast("long"), _power(base, half), _power(base, c["n"] - half), key, kind, F.concat_ws(",", c["n"].cast("string"), c["tweak"]))
+        return F.lpad(F.lower(F.conv(moved.cast("string"), 10, base)), c["n"], F.lit("0"))
+
+    return let(F.struct(s.alias("s"), F.length(s).alias("n"), tweak.cast("string").alias("tweak")), move)
 
 
 def _letters(s: Column, key: str, kind: str, tweak: Column) -> Column:
@@ -88,33 +100,38 @@ def _runs(s: Column, key: str, kind: str) -> Column:
 
 def _refill(form: Column, digits: Column) -> Column:
     """The digits of ``form`` replaced in order."""
-    before = lambda i: F.length(F.regexp_replace(F.substring(form, F.lit(1), i), "[^0-9]", ""))
-    one = lambda i: F.substring(form, i, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.when(one(i).rlike("[0-9]"), F.substring(digits, before(i), F.lit(1))).otherwise(one(i))), "")
+
+    def fill(c: Column) -> Column:
+        before = lambda i: F.length(F.regexp_replace(F.substring(c["form"], F.lit(1), i), "[^0-9]", ""))
+        one = lambda i: F.substring(c["form"], i, F.lit(1))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(c["form"])), lambda i: F.when(one(i).rlike("[0-9]"), F.substring(c["digits"], before(i), F.lit(1))).otherwise(one(i))), "")
+
+    return let(F.struct(form.alias("form"), digits.alias("digits")), fill)
 
 
 def luhn_sum(digits: Column, doubled: int) -> Column:
     """Sum of digits from the right, those at places of parity ``doubled`` counted twice (less 9 if over 9)."""
-    n = F.length(digits)
 
-    def add(s: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
-        return s + F.when(i % 2 == doubled, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+    def total(t: Column) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            return s + let(F.substring(t, F.length(t) - i, F.lit(1)).cast("int"), lambda d: F.when(i % 2 == doubled, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d))
+
+        return F.aggregate(F.sequence(F.lit(0), F.length(t) - 1), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+    return let(digits, total)
 
 
 def _card(m: Column, key: str) -> Column:
-    body = F.regexp_replace(m, "[^0-9]", "")
-    body = F.substring(body, F.lit(1), F.length(body) - 1)
-    moved = _digits(body, 10, key, "card", F.lit(""))
-    return _refill(m, F.concat(moved, ((F.lit(10) - luhn_sum(moved, 0) % 10) % 10).cast("string")))
+    moved = let(F.regexp_replace(m, "[^0-9]", ""), lambda d: _digits(F.substring(d, F.lit(1), F.length(d) - 1), 10, key, "card", F.lit("")))
+    return _refill(m, let(moved, lambda d: F.concat(d, ((F.lit(10) - luhn_sum(d, 0) % 10) % 10).cast("string"))))
 
 
 def _phone(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    code = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    return _refill(m, F.concat(code, _digits(F.substring(digits, F.length(digits) - 9, F.lit(10)), 10, key, "phone", code)))
+    def move(digits: Column) -> Column:
+        code = F.substring(digits, F.lit(1), F.length(digits) - 10)
+        return F.concat(code, _digits(F.substring(digits, F.length(digits) - 9, F.lit(10)), 10, key, "phone", code))
+
+    return _refill(m, let(F.regexp_replace(m, "[^0-9]", ""), move))
 
 
 def _octets(m: Column) -> Column:
@@ -124,7 +141,7 @@ def _octets(m: Column) -> Column:
 def _ip(m: Column, key: str) -> Column:
     value = F.aggregate(_octets(m), F.lit(0).cast("long"), lambda s, o: s * 256 + o)
     moved = feistel(value, F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, "ip", F.lit(""))
-    return F.concat_ws(".", *[(F.shiftright(moved, 8 * j) % 256).cast("string") for j in (3, 2, 1, 0)])
+    return let(moved, lambda v: F.concat_ws(".", *[(F.shiftright(v, 8 * j) % 256).cast("string") for j in (3, 2, 1, 0)]))
 
 
 def _day(m: Column) -> Column:
@@ -135,7 +152,7 @@ def _date(m: Column, key: str) -> Column:
     value = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date")).cast("long")
     moved = feistel(value, F.lit(DATE_A).cast("long"), F.lit(DATE_B).cast("long"), key, "date", F.lit(""))
     iso = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), "yyyy-MM-dd")
-    return F.when(F.contains(m, F.lit("/")), F.replace(iso, F.lit("-"), F.lit("/"))).otherwise(iso)
+    return let(iso, lambda d: F.when(F.contains(m, F.lit("/")), F.replace(d, F.lit("-"), F.lit("/"))).otherwise(d))
 
 
 def _email(m: Column, key: str) -> Column:
