@@ -30,7 +30,7 @@ from .textarrays import BYTE_CODE, LOWER, POSITION_CODE, as_long, hash_runs, mix
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 #: Lengths in bytes of the beginnings of words, and the share of words at which one counts in full.
-BEGINNINGS, DENSE = (4, 5, 6, 7, 8), 25.0
+BEGINNINGS, DENSE = (4, 5, 6, 7), 25.0
 SCHEMA = "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean"
 
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_docs: i
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("doc_id", "grade", "text").mapInArrow(_features, "doc_id long, grade int, keys array<long>, values array<float>").toArrow()
+    found = rows.select("doc_id", "grade", "text").mapInArrow(_features, "doc_id long, grade int, keys array<long>, values array<float>").toArrow().sort_by("doc_id")
     nothing = Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, np.inf))
     if not found.num_rows:
         return nothing
@@ -122,17 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_docs: i
     if not (grades > 0).any() or not (grades == 0).any():
         return nothing
     _, grades = np.unique(grades, return_inverse=True)
-    lists = found["keys"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    keys, columns, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    at = np.repeat(np.argsort(order), sizes)
-    ok = (count >= min_docs)[columns]
-    used = np.flatnonzero(count >= min_docs)
-    columns, at, values = np.searchsorted(used, columns[ok]), at[ok], found["values"].combine_chunks().flatten().to_numpy()[ok].astype(np.float64)
-    place = np.lexsort((columns, at))
-    weights, thetas = fit_arrays(at[place], columns[place], values[place], len(used), grades[order], l1, steps)
-    return Model(keys[used][weights != 0], weights[weights != 0], thetas)
+    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in found["keys"].chunks])
+    flat, values = (np.concatenate([x.flatten().to_numpy() for x in found[c].chunks]) for c in ("keys", "values"))
+    del found
+    # Keys of enough documents, without an index of all of them.
+    order = np.sort(flat)
+    first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+    keys = order[first[np.diff(np.append(first, len(order))) >= min_docs]]
+    del order, first
+    if not len(keys):
+        return nothing
+    place = np.minimum(np.searchsorted(keys, flat), len(keys) - 1).astype(np.int32)
+    ok = keys[place] == flat
+    del flat
+    at = np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[ok]
+    weights, thetas = fit_arrays(at, place[ok], values[ok], len(keys), grades, l1, steps)
+    return Model(keys[weights != 0], weights[weights != 0], thetas)
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model, cut: float) -> Iterator[pa.RecordBatch]:
