@@ -1,36 +1,5 @@
-"""Tables that cut lineage, in the folder the cluster names in ``spark.checkpoint.dir``."""
+"""Tables that cut lineage; see the library's own module."""
 
-from __future__ import annotations
+from ..sources.scratch import drop, folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder; only where none is set, as in tests, in a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_own_scratch", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = spark.sparkContext._own_scratch = tempfile.mkdtemp(prefix="scratch-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet and read back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = folder(spark)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._scratch_path = path
-    return back
-
-
-def drop(df: DataFrame) -> None:
-    """Removes a written table that nothing will read again."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "folder", "written"]
