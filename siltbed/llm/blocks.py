@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .textarrays import release
+
 
 def planes(x: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, for the shuffle's compression."""
@@ -55,6 +57,7 @@ def add_part(blocks: pa.Table) -> pa.Table:
         total = np.bincount(back, counts).astype(np.uint64)[back]
         at = np.cumsum([0, *map(len, lists)])
         out += [(c, p, m, planes(total[a:b])) for c, p, a, b in zip(own["chunk"].to_pylist(), own["part"].to_pylist(), at[:-1], at[1:], strict=True)]
+    release()
     return table(out, _TOTALS)
 
 

@@ -198,7 +198,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Ranks, their bytes, and a bounded cache of merged pieces."""
 
-    def __init__(self, path: str, cache_rows: int = 150_000):
+    def __init__(self, path: str, cache_rows: int = 100_000):
         self.ranks = read_ranks(path)
         self.bytes = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():

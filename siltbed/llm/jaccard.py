@@ -49,13 +49,13 @@ from pyspark.sql import functions as F
 from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, table, totals_of
 from .components import connected
 from .scratch import written
-from .textarrays import LOWER, as_long, hash_runs, sequence_hash, slices, window_hashes, word_table
+from .textarrays import LOWER, as_long, hash_runs, release, sequence_hash, slices, window_hashes, word_table
 
 SHINGLE = 5
 #: Bits of a shingle's hash in the counts; documents in a list from which on it is handled as a long one.
 BITS, LONG = 40, 64
 #: Bytes of text in a chunk, shingles in a part of the counts.
-CHUNK_BYTES, PART_KEYS = 8 << 20, 2_000_000
+CHUNK_BYTES, PART_KEYS = 4 << 20, 1_000_000
 #: Candidates compared with a query at a time; buckets of the filter on the texts that are read again.
 BLOCK, BUCKETS = 256, 1 << 20
 
@@ -105,6 +105,8 @@ def _nodes_of(docs: pa.Table, side: pa.Table) -> Iterator[tuple[int, np.ndarray]
 def _count(docs: pa.Table, side: pa.Table, parts: int) -> pa.Table:
     sets = [s for _, s in _nodes_of(docs, side)]
     prints, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - BITS), return_counts=True)
+    del sets
+    release()
     return table(split(docs["chunk"][0].as_py(), 1, prints, counts, parts, BITS) if len(prints) else [])
 
 
@@ -137,6 +139,8 @@ def _prefixes(docs: pa.Table, side: pa.Table, share: int) -> pa.Table:
         token.append(np.append(as_long(s[chosen]), 0))
         place.append(np.append(np.arange(alone, alone + k), -1).astype(np.int32))
         often.append(np.append(own[chosen] >= LONG, False))
+    del held, sets, all_tokens, back, lengths
+    release()
     flat = [np.concatenate([*x, np.zeros(0, k)]) for x, k in ((node, np.int64), (size, np.int32), (common, np.int32), (token, np.int64), (place, np.int32), (often, bool))]
     columns = [pa.array(c, f.type) for c, f in zip(flat, _LISTS, strict=True)]
     return pa.Table.from_arrays(columns, schema=_LISTS)

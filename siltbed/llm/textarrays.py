@@ -8,6 +8,7 @@ follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,15 @@ NONSPACE = np.ones(256, bool)
 NONSPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task, and so would its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit bijection whose output bits each depend on all input bits."""
     x = x ^ (x >> _U(30))
@@ -70,6 +80,8 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = S
             last = min(last, n)
             yield batch.slice(first, last - first), offsets[first : last + 1] - offsets[first], data[offsets[first] : offsets[last]]
             first = last
+        del batch, offsets, data
+    release()
 
 
 def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
