@@ -109,7 +109,7 @@ def fit_arrays(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_colu
     return params[:n_columns], np.sort(params[n_columns:])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_docs: int = 4, l1: float = 2e-4, steps: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6144, min_docs: int = 4, l1: float = 2e-4, steps: int = 200) -> Model:
     grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
