@@ -55,3 +55,21 @@ def fnv1a_32(names: pd.Series) -> pd.Series:
 @F.pandas_udf(T.LongType())
 def crc32c_of(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else crc32c(x.encode())).astype("Int64")
+
+
+def fingerprint(data: bytes) -> int:
+    """32 bits spread evenly over a name, so that fingerprints sort about as the names do; short names fill the high bits."""
+    n_bits = 8 * len(data)
+    value = int.from_bytes(data, "big")
+    # Bit i counts from the name's first; the fingerprint takes every step-th from there.
+    step = max(n_bits // 32, 1)
+    picked = [(value >> (n_bits - 1 - i)) & 1 for i in range(0, n_bits, step)][:32]
+    return sum(bit << (31 - i) for i, bit in enumerate(picked))
+
+
+@F.pandas_udf(T.DecimalType(20, 0))
+def name_hash(names: pd.Series) -> pd.Series:
+    """The fingerprint above the 32-bit hash of a name."""
+    from decimal import Decimal
+
+    return names.map(lambda x: None if x is None else Decimal(fingerprint(x.encode()) << 32 | fnv1a(x.encode(), 32)))

@@ -65,3 +65,45 @@ def human_size(text: Column) -> Column:
     suffix = F.regexp_extract(text, rf"^([0-9]{{1,18}})([{SUFFIXES}]?)$", 2)
     power = reduce(lambda out, i: F.when(suffix == SUFFIXES[i], F.lit(1024 ** (i + 1))).otherwise(out), range(len(SUFFIXES)), F.lit(1).cast("long"))
     return F.try_multiply(number, power)
+
+
+def any_u64(text: Column) -> Column:
+    """Like :func:`u64`, with a leading + allowed, as the command line takes it."""
+    return u64(F.regexp_replace(text, r"^\+", ""))
+
+
+def s64(text: Column) -> Column:
+    """A signed number, or null beyond 64 bits."""
+    size = any_u64(F.regexp_replace(text, "^-", ""))
+    return F.when(text.rlike("^-[0-9]"), -size).when(~text.startswith("-"), size).try_cast("long")
+
+
+def u32(text: Column) -> Column:
+    value = any_u64(text)
+    return F.when(value <= 4294967295, value).cast("long")
+
+
+def timespec(text: Column) -> list[Column]:
+    """Seconds and nanoseconds from "sec.nsec"; both null unless both are there and there are no more than 1e9 nanoseconds."""
+    shape = r"^([0-9]{1,18})\.([0-9]{1,10})$"
+    sec, nsec = (F.regexp_extract(text, shape, k).try_cast("long") for k in (1, 2))
+    ok = text.rlike(shape) & (nsec <= 1_000_000_000)
+    return [F.when(ok, sec), F.when(ok, nsec)]
+
+
+def position(text: Column) -> list[Column]:
+    """major, minor, ino of "major.minor.ino": parts that are missing are 0; all null if one is no number."""
+    parts = F.split(text, r"\.", 3)
+    each = [F.when(F.size(parts) >= k, any_u64(F.try_element_at(parts, F.lit(k)))).otherwise(0) for k in (1, 2, 3)]
+    ok = each[0].isNotNull() & each[1].isNotNull() & each[2].isNotNull()
+    return [F.when(ok, x) for x in each]
+
+
+def packed_key(parts: list[Column], widths: list[int]) -> Column:
+    """Unsigned numbers as one string of hexadecimal digits that sorts like the tuple."""
+    return F.concat(*[F.lpad(F.hex(x), w, "0") for x, w in zip(parts, widths, strict=True)])
+
+
+def unpacked_key(packed: Column, widths: list[int]) -> list[Column]:
+    at = [1 + sum(widths[:i]) for i in range(len(widths))]
+    return [F.conv(F.substring(packed, a, w), 16, 10).cast("decimal(20,0)") for a, w in zip(at, widths, strict=True)]

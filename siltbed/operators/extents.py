@@ -117,3 +117,42 @@ def take_until(extents: DataFrame, order: list[str], wanted: int) -> DataFrame:
     """The first extents of each object until their lengths reach ``wanted``; the last is cut."""
     before = F.coalesce(F.sum("len").over(Window.partitionBy("ino").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return extents.withColumn("__before", before).where(F.col("__before") < wanted).withColumn("len", F.least("len", wanted - F.col("__before"))).drop("__before")
+
+
+def next_overlapping(extents: DataFrame, ranges: DataFrame) -> DataFrame:
+    """For each range (first, end) the first extent that reaches into it."""
+    rows = ranges.join(extents, "ino").where("start < end and start + len > first")
+    return rows.groupBy("ino", "first", "end").agg(F.min_by(F.struct("start", "len"), "start").alias("e")).select("ino", "first", "end", "e.start", "e.len")
+
+
+def covered(extents: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Whether disjoint extents cover each range (first, end) wholly, and whether one of them is unwritten."""
+    rows = ranges.join(extents, "ino", "left")
+    inside = F.greatest(F.least(F.col("start") + F.col("len"), F.col("end")) - F.greatest("start", "first"), F.lit(0))
+    dirty = (inside > 0) & (F.col("flags").bitwiseAND(UNWRITTEN) != 0)
+    found = rows.groupBy("ino", "first", "end").agg(F.sum(inside).alias("n"), F.max(F.coalesce(dirty, F.lit(False))).alias("dirty"))
+    return found.select("ino", (F.coalesce("n", F.lit(0)) == F.col("end") - F.col("first")).alias("covered"), "dirty")
+
+
+def newest_ranges(ranges: DataFrame) -> DataFrame:
+    """Of overlapping ranges (ino, first, end, read_seq) the newest keeps each block; older ones are trimmed or dropped."""
+    cuts = ranges.select("ino", F.explode(F.array("first", "end")).alias("start")).distinct()
+    parts = cuts.withColumn("stop", F.lead("start").over(Window.partitionBy("ino").orderBy("start"))).where("stop is not null")
+    owned = parts.join(ranges, "ino").where("first <= start and end >= stop").groupBy("ino", "start", "stop").agg(F.max("read_seq").alias("read_seq"))
+    w = Window.partitionBy("ino").orderBy("start")
+    same = (F.lag("stop").over(w) == F.col("start")) & (F.lag("read_seq").over(w) == F.col("read_seq"))
+    rows = owned.withColumn("__run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
+    return rows.groupBy("ino", "__run").agg(F.min("start").alias("first"), F.max("stop").alias("end"), F.first("read_seq").alias("read_seq")).drop("__run")
+
+
+def move_blocks(extents: DataFrame, moves: DataFrame) -> DataFrame:
+    """All extents after the moves (ino, to_ino, first, end, to_first); a target that overlaps an extent refuses its move."""
+    into = moves.select(F.col("to_ino").alias("ino"), F.col("ino").alias("from_ino"), F.col("to_first").alias("lo"), (F.col("to_first") + F.col("end") - F.col("first")).alias("hi"))
+    full = into.join(extents, "ino").where("start < hi and start + len > lo").select(F.col("from_ino").alias("ino")).distinct()
+    ok = moves.join(full, "ino", "left_anti")
+    return coalesce(remove(extents, ok.select("ino", "first", "end")).unionByName(move(extents, ok)))
+
+
+def zones_of(extents: DataFrame, size: int = 16) -> DataFrame:
+    """A row for each zone of ``size`` blocks that an extent touches."""
+    return extents.withColumn("zone", F.explode(F.sequence(F.call_function("div", F.col("start"), F.lit(size)), F.call_function("div", F.col("start") + F.col("len") - 1, F.lit(size)))))

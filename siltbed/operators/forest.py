@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def newest(log: DataFrame, key: list[str], keep_deleted: bool = False) -> DataFrame:
     """The newest version of each key; of equal sequences the base's; deleted keys vanish.
@@ -61,3 +63,19 @@ def index_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.select("ino", F.col("major").alias("old_major")).join(new.select("ino", F.col("major").alias("new_major")), "ino", "full_outer").where(~F.col("old_major").eqNullSafe(F.col("new_major")))
     pair = F.array(F.struct(F.lit("delete").alias("op"), F.col("old_major").alias("major")), F.struct(F.lit("insert").alias("op"), F.col("new_major").alias("major")))
     return both.select("ino", F.explode(pair).alias("p")).select("ino", "p.op", "p.major").where("major is not null")
+
+
+def sorted_runs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows written as sorted files of disjoint key ranges, which later range filters skip by their statistics."""
+    return written(rows.repartitionByRange(*key).sortWithinPartitions(*key))
+
+
+def presence(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
+    """Merge of two sorted runs: every key and the runs that hold it."""
+    a, b = (x.select(*key).distinct().withColumn(n, F.lit(True)) for x, n in ((one, "in_one"), (two, "in_two")))
+    return a.join(b.hint("merge"), key, "full_outer").select(*key, F.coalesce("in_one", F.lit(False)).alias("in_one"), F.coalesce("in_two", F.lit(False)).alias("in_two"))
+
+
+def options(changes: DataFrame) -> DataFrame:
+    """Volume options (bit, seq, op, value): the last set or clear of each bit decides; cleared ones are gone."""
+    return changes.groupBy("bit").agg(F.max_by(F.struct("op", "value"), "seq").alias("v")).where("v.op = 'set'").select("bit", "v.value")

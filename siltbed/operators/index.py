@@ -68,3 +68,37 @@ def with_last_flag(rows: DataFrame, partition: list[str], order: list[str]) -> D
 def entry_at(rows: DataFrame, partition: list[str], order: list[str], position: int) -> DataFrame:
     """The entry at a position, from 0, of each partition."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("__n") == position + 1).drop("__n")
+
+
+def pages(rows: DataFrame, key: list[str], size: int, n: int) -> DataFrame:
+    """The first ``n`` pages as a client reads them: each resumes after the last key of the one before.
+
+    Only a page's last key comes to the driver.
+    """
+    out, left = None, rows.select(*key)
+    for i in range(n):
+        page = left.orderBy(*key).limit(size)
+        out = page.withColumn("page", F.lit(i)) if out is None else out.unionByName(page.withColumn("page", F.lit(i)))
+        last = page.agg(F.max(F.struct(*key)).alias("last")).first()["last"]
+        if last is None:
+            break
+        left = left.where(F.struct(*key) > F.struct(*[F.lit(last[k]).alias(k) for k in key]))
+    return out
+
+
+def bitmap(rows: DataFrame, by: list[str], bit: Column, width: int = 32) -> DataFrame:
+    """Numbers as words of ``width`` bits: by, word, bits, n_set."""
+    word = F.call_function("div", bit, F.lit(width))
+    mask = F.expr(f"shiftleft(1L, cast(__bit % {width} as int))")
+    found = rows.withColumn("__bit", bit).groupBy(*by, word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    return found.withColumn("n_set", F.bit_count("bits").cast("long"))
+
+
+def finalize(manifest: DataFrame) -> DataFrame:
+    """Whether a log is finalized: its tree is higher than 2, its allocator is low, or it is asked for."""
+    return manifest.withColumn("finalize", (F.col("height") > 2) | F.col("low") | F.col("forced"))
+
+
+def next_finalized(log: DataFrame, merge_seq: int, first: int, last: int) -> DataFrame:
+    """The least key in [first, last] of logs finalized before ``merge_seq``; no row if there is none."""
+    return log.where((F.col("finalize_seq") < merge_seq) & F.col("key").between(first, last)).agg(F.min("key").alias("key")).where("key is not null")
