@@ -128,10 +128,11 @@ def next_overlapping(extents: DataFrame, ranges: DataFrame) -> DataFrame:
 def covered(extents: DataFrame, ranges: DataFrame) -> DataFrame:
     """Whether disjoint extents cover each range (first, end) wholly, and whether one of them is unwritten."""
     rows = ranges.join(extents, "ino", "left")
-    inside = F.greatest(F.least(F.col("start") + F.col("len"), F.col("end")) - F.greatest("start", "first"), F.lit(0))
+    # greatest and least pass over nulls, so a range without extents is told apart first.
+    inside = F.when(F.col("start").isNull(), 0).otherwise(F.greatest(F.least(F.col("start") + F.col("len"), F.col("end")) - F.greatest("start", "first"), F.lit(0)))
     dirty = (inside > 0) & (F.col("flags").bitwiseAND(UNWRITTEN) != 0)
     found = rows.groupBy("ino", "first", "end").agg(F.sum(inside).alias("n"), F.max(F.coalesce(dirty, F.lit(False))).alias("dirty"))
-    return found.select("ino", (F.coalesce("n", F.lit(0)) == F.col("end") - F.col("first")).alias("covered"), "dirty")
+    return found.select("ino", (F.col("n") == F.col("end") - F.col("first")).alias("covered"), "dirty")
 
 
 def newest_ranges(ranges: DataFrame) -> DataFrame:
