@@ -34,7 +34,7 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{16,}(?![0-9A-Za-z])",
+    "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{16,}|[0-9A-F]{16,})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 #: Days of one calendar cycle and its two residues.
@@ -162,8 +162,10 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _hex(m: Column, key: str) -> Column:
-    pieces = F.regexp_extract_all(m, F.lit("[0-9a-f]{1,12}"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p, i: _digits(p, 16, key, "hex", i)), "")
+    """The value is moved in lower case, so a token in either case gets one pseudonym, in its own case."""
+    pieces = F.regexp_extract_all(F.lower(m), F.lit("[0-9a-f]{1,12}"), F.lit(0))
+    moved = F.array_join(F.transform(pieces, lambda p, i: _digits(p, 16, key, "hex", i)), "")
+    return F.when(m.rlike("[A-F]"), F.upper(moved)).otherwise(moved)
 
 
 def kind_of(m: Column) -> Column:
@@ -177,7 +179,7 @@ def kind_of(m: Column) -> Column:
         .when(m.startswith("+"), "phone")
         .when(m.rlike("^AKIA"), "key")
         .when(m.rlike("^[0-9 -]+$") & card, F.when(luhn_sum(digits, 1) % 10 == 0, "card"))
-        .when(m.rlike("^[0-9a-f]{16,}$") & m.rlike("[a-f]"), "hex")
+        .when(m.rlike("^([0-9a-f]{16,}|[0-9A-F]{16,})$") & m.rlike("[a-fA-F]"), "hex")
     )
 
 

@@ -364,6 +364,20 @@ def test_no_known_value_survives(spark):
                 assert value not in new[r.doc_id]
 
 
+def test_no_known_secret_survives(spark):
+    found = re.compile(r"\b(?:[0-9a-f]{16,}|[0-9A-F]{16,}|AKIA[A-Z0-9]{16})\b")
+    own = [(10**6, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"'), (10**6 + 1, 'token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"')]
+    d = docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    new = {r.doc_id: r.text for r in pseudonyms.pseudonymise(d).collect()}
+    seen = 0
+    for r in d.where("text is not null").collect():
+        for value in found.findall(r.text):
+            if not value.isdigit():
+                seen += 1
+                assert value not in new[r.doc_id]
+    assert seen >= 2 and re.search("[A-F]", new[10**6][9:]) and new[10**6].lower() == new[10**6 + 1]
+
+
 # ---- op9
 
 
