@@ -2,7 +2,8 @@
 
 Card numbers (Luhn-valid, 13 to 19 digits), telephone numbers, IPv4
 addresses, calendar dates, e-mail addresses and secrets (hexadecimal tokens,
-access keys) are replaced by other values of the same format.  A value is
+access keys) are replaced by other values of the same format.  A card may be
+any groups of a longer run of digit groups.  A value is
 split into two residues that a keyed Feistel network changes in turn, eight
 times; every step can be undone, so the map is a permutation of the format's
 values: equal values stay equal in all documents and different ones stay
@@ -27,14 +28,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+HEX = r"(?![0-9]+(?![0-9A-Za-z]))(?:[0-9a-f]{16,}|[0-9A-F]{16,})(?![0-9A-Za-z])"
+DAY = r"(?:1[89]|2[01])[0-9]{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
+MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\."
+#: What ends a run of card digits before its next group, as it is searched by itself.
+OTHER = "|".join((IP, HEX, DAY))
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9.]){IP}",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
-    "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{16,}|[0-9A-F]{16,})(?![0-9A-Za-z])",
+    "hex": rf"(?<![0-9A-Za-z]){HEX}",
+    # 13 digits and all further groups; possessive, as long runs would overflow the stack.
+    "card": rf"(?<![0-9])[0-9](?:(?:[ -](?!{OTHER}))?[0-9]){{12}}[0-9]*+(?:[ -](?!{OTHER}|{MAIL})[0-9]++)*+",
 }
 ANY = "|".join(PATTERNS.values())
 #: Days of one calendar cycle and its two residues.
@@ -127,6 +135,13 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, let(moved, lambda d: F.concat(d, ((F.lit(10) - luhn_sum(d, 0) % 10) % 10).cast("string"))))
 
 
+def _run(m: Column, cards: Column, key: str) -> Column:
+    """A run of digit groups with its cards replaced; the rest stays."""
+    end = lambda i: F.coalesce(F.get(cards, i)["at"] + F.get(cards, i)["n"], F.lit(1))
+    pieces = F.transform(cards, lambda c, i: F.concat(F.substring(m, end(i - 1), c["at"] - end(i - 1)), _card(c["w"], key)))
+    return F.concat(F.array_join(pieces, ""), F.substring(m, end(F.size(cards) - 1), F.length(m)))
+
+
 def _phone(m: Column, key: str) -> Column:
     def move(digits: Column) -> Column:
         code = F.substring(digits, F.lit(1), F.length(digits) - 10)
@@ -168,29 +183,56 @@ def _hex(m: Column, key: str) -> Column:
     return F.when(m.rlike("[A-F]"), F.upper(moved)).otherwise(moved)
 
 
-def kind_of(m: Column) -> Column:
-    """The kind of a match, or null if it fails validation."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    card = F.length(digits).between(13, 19)
+def _cards(m: Column) -> Column:
+    """The cards (at, n, w) of a run of digit groups, in order: valid by Luhn, from one group's begin to a group's end.
+
+    Of those that overlap, one that begins like a card (3 to 6) goes first, then one of 16 or 15 digits, then the first.
+    """
+
+    def windows(c: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), c["n"]), lambda i: F.get(c["s"], i - 1).rlike("[0-9]") & ~F.coalesce(F.get(c["s"], i - 2).rlike("[0-9]"), F.lit(False)))
+        return F.flatten(F.transform(starts, lambda i: let(F.struct(i.alias("at"), F.array_join(F.slice(c["s"], i, F.lit(38)), "").alias("w")), ends)))
+
+    def ends(c: Column) -> Column:
+        some = F.filter(F.sequence(F.lit(13), F.lit(37)), lambda n: (n <= F.length(c["w"])) & F.substring(c["w"], n, F.lit(2)).rlike("^[0-9]([^0-9]|$)"))
+        return F.filter(F.transform(some, lambda n: window(c["at"], n, F.substring(c["w"], F.lit(1), n))), lambda v: v["size"].between(13, 19) & (luhn_sum(v["digits"], 1) % 10 == 0))
+
+    def window(at: Column, n: Column, w: Column) -> Column:
+        digits = F.regexp_replace(w, "[^0-9]", "")
+        usual = F.when(F.length(digits) == 16, 0).when(F.length(digits) == 15, 1).otherwise(2)
+        return F.struct((~w.rlike("^[3-6]")).alias("odd"), usual.alias("usual"), at.alias("at"), n.alias("n"), w.alias("w"), F.length(digits).alias("size"), digits.alias("digits"))
+
+    def take(s: Column, v: Column) -> Column:
+        clash = F.exists(s, lambda o: (v["at"] < o["at"] + o["n"]) & (o["at"] < v["at"] + v["n"]))
+        return F.when(clash, s).otherwise(F.concat(s, F.array(F.struct(v["at"].alias("at"), v["n"].alias("n"), v["w"].alias("w")))))
+
+    none = F.array().cast("array<struct<at:int,n:int,w:string>>")
+    run = F.struct(F.split(m, "").alias("s"), F.length(m).alias("n"))
+    found = F.array_sort(F.aggregate(F.array_sort(let(run, windows)), none, take))
+    return F.when(m.rlike("^[0-9][0-9 -]{12,}$"), found).otherwise(none)
+
+
+def kind_of(m: Column, cards: Column) -> Column:
+    """The kind of a match, with the cards it holds, or null if it fails validation."""
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(m.rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$"), F.when(F.forall(_octets(m), lambda o: o <= 255), "ip"))
         .when(m.rlike("^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}$"), F.when(_day(m).between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")), "date"))
         .when(m.startswith("+"), "phone")
         .when(m.rlike("^AKIA"), "key")
-        .when(m.rlike("^[0-9 -]+$") & card, F.when(luhn_sum(digits, 1) % 10 == 0, "card"))
+        .when(F.size(cards) > 0, "card")
         .when(m.rlike("^([0-9a-f]{16,}|[0-9A-F]{16,})$") & m.rlike("[a-fA-F]"), "hex")
     )
 
 
-def _pseudonym(kind: Column, m: Column, key: str) -> Column:
+def _pseudonym(kind: Column, m: Column, cards: Column, key: str) -> Column:
     return (
         F.when(kind == "email", _email(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "date", _date(m, key))
         .when(kind == "phone", _phone(m, key))
         .when(kind == "key", F.concat(F.lit("AKIA"), _runs(F.substring(m, F.lit(5), F.lit(16)), key, "key")))
-        .when(kind == "card", _card(m, key))
+        .when(kind == "card", _run(m, cards, key))
         .when(kind == "hex", _hex(m, key))
         .otherwise(m)
     )
@@ -204,11 +246,11 @@ def pseudonymise(docs: DataFrame, key: str = "siltbed", column: str = "text", fi
     found = F.when(worth, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     taken = {c.lower() for c in docs.columns}
     own = next(f"__pii{i}" for i in range(len(taken) + 1) if f"__pii{i}" not in taken)
-    rows = docs.withColumn(own, F.transform(F.when(F.size(found) > 0, found), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
+    rows = docs.withColumn(own, F.transform(F.when(F.size(found) > 0, found), lambda m: let(_cards(m), lambda c: F.struct(m.alias("m"), kind_of(m, c).alias("k"), c.alias("c")))))
     some = F.col(own).isNotNull()
-    pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(own, lambda f: _pseudonym(f["k"], f["m"], key)), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(own, lambda f: _pseudonym(f["k"], f["m"], f["c"], key)), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     columns = [F.when(some, F.array_join(pieces, "")).otherwise(text).alias(column) if c == column else F.col(f"`{c}`") for c in docs.columns]
     if findings:
-        kinds = F.filter(F.transform(own, lambda f: f["k"]), lambda k: k.isNotNull())
+        kinds = F.flatten(F.transform(F.filter(own, lambda f: f["k"].isNotNull()), lambda f: F.array_repeat(f["k"], F.greatest(F.size(f["c"]), F.lit(1)))))
         columns.append(F.coalesce(kinds, F.array().cast("array<string>")).alias(findings))
     return rows.select(*columns)

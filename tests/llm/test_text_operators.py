@@ -378,6 +378,29 @@ def test_no_known_secret_survives(spark):
     assert seen >= 2 and re.search("[A-F]", new[10**6][9:]) and new[10**6].lower() == new[10**6 + 1]
 
 
+def test_cards_beside_numbers(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    texts = {
+        f"{card} 12/27": 1, "4111111111111111 123": 1, f"2024 {card}": 1, f"{card} {other}": 2, f"1 2 {card} 7 8 {other} 9": 2, f"{card} 2024-01-05": 2,
+        f"12345 2024-01-05 {card}": 2, f"{card} 10.0.0.1": 2, f"{card} 12345@mail7.example.com": 2, f"{card} 9233a8ecf7c5b09fe5949719b6b82bc439e9329b": 2,
+        f"x{card}y": 1, "12345678901234567890123456789012": 0, "1234 5678 9012 3456": 0, "4539578763621486a1beb58b8af68854f0e01b4a": 1, "1 " * 20000 + card: None,
+    }
+    private = re.compile(r"4111|1111 1111|5500-0000|2024-01-05|10\.0\.0|12345@|9233a8|4539578763621486|54f0e01b4a")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pseudonyms.pseudonymise(d, findings="kinds").collect():
+        text, n = list(texts.items())[r.doc_id]
+        assert n is None or len(r.kinds) == n, (text, r.text)
+        assert len(r.text) == len(text) or "." in text
+        if n == 0:
+            assert r.text == text
+        else:
+            assert not private.search(r.text.replace("2024 ", "")), (text[-99:], r.text[-99:])
+    new = {r.doc_id: r.text for r in pseudonyms.pseudonymise(d).collect()}
+    assert new[0].endswith(" 12/27") and new[1].endswith(" 123") and new[2].startswith("2024 ") and new[4][:4] == "1 2 " and new[4][-2:] == " 9"
+    one = [re.sub(r"\D", "", t) for t in (new[0][:19], new[1][:16], new[2][5:], new[4][4:23])]
+    assert len(set(one)) == 1 and luhn(one[0])
+
+
 # ---- op9
 
 
