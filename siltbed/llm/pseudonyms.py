@@ -11,8 +11,8 @@ different.  Dates move within 1800-01-01 to 2199-12-31 (146,097 = 189 x 773
 days, one whole cycle of the calendar); a card keeps a valid check digit.
 Numbers that fail validation are no PII and stay.
 
-All of it is built from SQL functions; texts without a digit or @ are not
-searched at all.
+All of it is built from SQL functions; texts without a digit, @, AKIA or a
+token of the letters a to f are not searched at all.
 
 Defined cases: a null text stays null with no finding; empty texts stay
 empty; long texts are searched whole; repeated rows get the same pseudonyms;
@@ -241,8 +241,8 @@ def _pseudonym(kind: Column, m: Column, cards: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "siltbed", column: str = "text", findings: str | None = None) -> DataFrame:
     """The rows with PII in ``column`` replaced; ``findings`` names a column for the kinds found, in order."""
     text = F.col(column)
-    # Byte searches make no copy of a text; every kind has one of these characters.
-    worth = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "1023456789@"])
+    # Byte searches make no copy of a text; only keys and hex tokens may do without these characters.
+    worth = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in (*"1023456789@", "AKIA")]) | text.rlike("[a-f]{16}|[A-F]{16}")
     found = F.when(worth, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     taken = {c.lower() for c in docs.columns}
     own = next(f"__pii{i}" for i in range(len(taken) + 1) if f"__pii{i}" not in taken)
