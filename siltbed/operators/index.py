@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def at_least(columns: list[str], bound: tuple) -> Column:
     """(c1, c2, ...) >= bound, in the order of the columns."""
@@ -86,6 +88,20 @@ def pages(rows: DataFrame, key: list[str], size: int, n: int) -> DataFrame:
     return out
 
 
+def all_pages(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """Every row with its page, in the order of a unique key: a rank within a range of keys and the offset of the range.
+
+    The ranges are written, as Spark may sample other bounds when it computes them again. The only
+    window over all is over one count for each range.
+    """
+    dealt = written(rows.select(*key).repartitionByRange(*key).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(*key)))
+    at = F.col("__before") + F.col("__rank") - 1
+    return ranked.join(F.broadcast(offsets), "__range").select(*key, F.call_function("div", at, F.lit(size)).alias("page"))
+
+
 def bitmap(rows: DataFrame, by: list[str], bit: Column, width: int = 32) -> DataFrame:
     """Numbers as words of ``width`` bits: by, word, bits, n_set."""
     word = F.call_function("div", bit, F.lit(width))

@@ -169,3 +169,9 @@ def low_watermark(t: Tables) -> DataFrame:
 def resumed_feed(t: Tables) -> DataFrame:
     """Three pages of the feed; pages are the feature."""
     return index.pages(t.seq_index().where("index = 'data_seq'"), ["major", "minor", "ino"], 128, 3)
+
+
+@query("t02_whole_feed", "SELECT major, minor, ino, (row_number() OVER (ORDER BY major, minor, ino) - 1) // 128 AS page FROM seq_index WHERE index = 'data_seq'", "seq_index")
+def whole_feed(t: Tables) -> DataFrame:
+    """The feed to its end, each row with the page that brings it."""
+    return index.all_pages(t.seq_index().where("index = 'data_seq'"), ["major", "minor", "ino"], 128)

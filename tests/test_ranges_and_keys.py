@@ -105,3 +105,12 @@ def test_packed_keys_sort_like_tuples(spark):
     df = spark.createDataFrame(keys, "a long, b long, c long").select(parsing.packed_key([F.col(x) for x in "abc"], [2, 16, 16]).alias("k"))
     back = df.orderBy("k").select(*parsing.unpacked_key(F.col("k"), [2, 16, 16])).collect()
     assert [tuple(map(int, r)) for r in back] == sorted(keys)
+
+
+def test_pages_cover_the_whole_feed(spark):
+    rows = spark.createDataFrame([(k // 3, k) for k in range(1000)], "major long, ino long").repartition(7)
+    got = index.all_pages(rows, ["major", "ino"], 4)
+    assert sorted((r.page, r.ino) for r in got.collect()) == [(k // 4, k) for k in range(1000)]
+    few = index.pages(rows, ["major", "ino"], 4, 3)
+    assert sorted(few.collect()) == sorted(got.where("page < 3").select(*few.columns).collect())
+    assert index.all_pages(rows.where("ino < 0"), ["major", "ino"], 4).count() == 0
