@@ -266,6 +266,13 @@ def merge_runs(t: Tables) -> DataFrame:
     return log.where("run = 0").unionByName(log.where("run = 1")).orderBy("hash", "ino", "id", "run")
 
 
+@query("o01_merge_whole_runs", "SELECT hash, ino, id, run FROM srch_log", "srch_log")
+def merge_whole_runs(t: Tables) -> DataFrame:
+    """Both runs with all their hash values."""
+    log = t.srch_log()
+    return log.where("run = 0").unionByName(log.where("run = 1")).orderBy("hash", "ino", "id", "run")
+
+
 _FILES = "f AS (SELECT p_partkey AS file, (1 + p_partkey * p_size % 5000) AS blocks FROM part), y AS (SELECT p_partkey AS file FROM part WHERE p_size % 10 = 0)"
 
 

@@ -114,3 +114,14 @@ def test_pages_cover_the_whole_feed(spark):
     few = index.pages(rows, ["major", "ino"], 4, 3)
     assert sorted(few.collect()) == sorted(got.where("page < 3").select(*few.columns).collect())
     assert index.all_pages(rows.where("ino < 0"), ["major", "ino"], 4).count() == 0
+
+
+def test_merged_runs_keep_every_hash(spark):
+    from siltbed.plans import registry
+    from siltbed.sources.tables import Tables
+
+    from .conftest import SF
+
+    got = registry.QUERIES["o01_merge_whole_runs"](spark, SF)
+    log = Tables(spark, SF).srch_log()
+    assert got.count() == log.count() and got.select("hash").distinct().count() == 10
