@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 
-def ancestors(dirents: DataFrame, root: int = 1, max_depth: int = 64) -> DataFrame:
+
+def ancestors(dirents: DataFrame, root: int = 1) -> DataFrame:
     """(ino, ancestor, depth): every object with all directories above it, itself at depth 0.
 
     Paths double in length with every round, so a tree of depth d takes about
-    log2(d) joins; a cycle is an error.
+    log2(d) joins; a cycle, which makes an object its own ancestor, is an error.
     """
     edges = dirents.select("ino", F.col("dir_ino").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
     closure, reach = edges, 1
-    while reach < max_depth:
+    while True:
         onward = closure.select(F.col("ino").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
         longer = closure.where(F.col("depth") == reach).join(onward, "ancestor").select("ino", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        if longer.isEmpty():
+        # Written, or the plan would triple with every round.
+        longer = written(longer)
+        cycle = longer.agg(F.bool_or(F.col("ino") == F.col("ancestor")).alias("cycle")).first()["cycle"]
+        if cycle is None:
             break
+        if cycle:
+            raise ValueError("directories nest in a cycle")
         closure = closure.unionByName(longer)
         reach *= 2
-    else:
-        raise ValueError("directories nest too deeply or in a cycle")
     return dirents.select("ino", F.col("ino").alias("ancestor"), F.lit(0).cast("long").alias("depth")).unionByName(closure)
 
 

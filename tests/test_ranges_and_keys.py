@@ -125,3 +125,13 @@ def test_merged_runs_keep_every_hash(spark):
     got = registry.QUERIES["o01_merge_whole_runs"](spark, SF)
     log = Tables(spark, SF).srch_log()
     assert got.count() == log.count() and got.select("hash").distinct().count() == 10
+
+
+def test_deep_trees_are_whole(spark):
+    from siltbed.operators import tree
+
+    chain = spark.createDataFrame([(k + 1, k) for k in range(1, 100)], "ino long, dir_ino long")
+    got = tree.ancestors(chain)
+    assert got.count() == sum(k + 1 for k in range(1, 100)) and got.agg(F.max("depth")).first()[0] == 99
+    with pytest.raises(ValueError):
+        tree.ancestors(chain.unionByName(spark.createDataFrame([(1, 50)], "ino long, dir_ino long")))
