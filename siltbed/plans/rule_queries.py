@@ -151,6 +151,12 @@ def inode_group(t: Tables) -> DataFrame:
     return t.inodes().groupBy(index.group_of(F.col("ino")).alias("grp")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
 
 
+@query("p21_inode_bit", "SELECT ino, ino // 1024 AS grp, ino % 1024 AS bit FROM inodes", "inodes")
+def inode_bit(t: Tables) -> DataFrame:
+    """Every object with its group and its bit in the group."""
+    return t.inodes().select("ino", index.group_of(F.col("ino")).alias("grp"), (F.col("ino") % 1024).alias("bit"))
+
+
 @query("p22_alignment", "SELECT ino, size % 4096 = 0 AS is_aligned, (size + 4095) // 4096 AS blocks FROM inodes", "inodes")
 def alignment(t: Tables) -> DataFrame:
     return t.inodes().select("ino", (F.col("size") % 4096 == 0).alias("is_aligned"), F.call_function("div", F.col("size") + 4095, F.lit(4096)).alias("blocks"))

@@ -135,3 +135,12 @@ def test_deep_trees_are_whole(spark):
     assert got.count() == sum(k + 1 for k in range(1, 100)) and got.agg(F.max("depth")).first()[0] == 99
     with pytest.raises(ValueError):
         tree.ancestors(chain.unionByName(spark.createDataFrame([(1, 50)], "ino long, dir_ino long")))
+
+
+def test_each_object_has_its_own_bit(spark):
+    from siltbed.plans import registry
+
+    from .conftest import SF
+
+    got = registry.QUERIES["p21_inode_bit"](spark, SF)
+    assert got.select("grp", "bit").distinct().count() == got.select("ino").distinct().count() and got.where("ino <> grp * 1024 + bit").count() == 0
