@@ -22,27 +22,37 @@ def last_entry(t: Tables) -> DataFrame:
     return index.with_last_flag(t.dirents().select("dir_ino", "pos", "ino"), ["dir_ino"], ["pos"])
 
 
-@query("j06_closure", f"WITH {_UP} SELECT ino, ancestor, depth FROM u UNION ALL SELECT ino, ino, 0 FROM dirents", "dirents", recursive=True)
+_ABOVE = f"WITH {_UP}, a AS (SELECT DISTINCT l.ino, u.ancestor, u.depth + 1 AS depth FROM links l JOIN u ON u.ino = l.dir_ino UNION SELECT ino, dir_ino, 1 FROM links UNION SELECT ino, ino, 0 FROM links)"
+_PATHS = "c AS (SELECT ino, '/' || name AS path FROM dirents WHERE dir_ino = 1 UNION ALL SELECT d.ino, c.path || '/' || d.name FROM c JOIN dirents d ON d.dir_ino = c.ino), p AS (SELECT l.ino, l.dir_ino, l.pos, coalesce(c.path, '') || '/' || l.name AS path FROM links l LEFT JOIN c ON c.ino = l.dir_ino WHERE l.dir_ino = 1 OR c.ino IS NOT NULL)"
+
+
+@query("j06_closure", f"{_ABOVE} SELECT ino, ancestor, depth FROM a", "links", recursive=True)
 def closure(t: Tables) -> DataFrame:
-    return tree.ancestors(t.dirents())
+    return tree.ancestors(t.links())
 
 
-@query("s11_ino_path", f"WITH {_UP}, a AS (SELECT ino, ancestor, depth FROM u UNION ALL SELECT ino, ino, 0 FROM dirents) SELECT a.ino, '/' || string_agg(d.name, '/' ORDER BY a.depth DESC) AS path FROM a JOIN dirents d ON d.ino = a.ancestor GROUP BY a.ino", "dirents", recursive=True)
+@query("s11_ino_path", f"WITH {_PATHS} SELECT * FROM p", "links", recursive=True)
 def path(t: Tables) -> DataFrame:
-    return tree.paths(t.dirents())
+    return tree.paths(t.links())
+
+
+@query("s11_next_path", f"WITH {_PATHS}, q AS (SELECT ino, min(dir_ino) AS from_dir, arg_min(pos, (dir_ino, pos)) + 1 AS from_pos FROM links GROUP BY ino) SELECT q.ino, from_dir, from_pos, p.dir_ino, p.pos, p.path FROM q JOIN p ON p.ino = q.ino AND (p.dir_ino, p.pos) >= (from_dir, from_pos) QUALIFY row_number() OVER (PARTITION BY q.ino ORDER BY p.dir_ino, p.pos) = 1", "links", recursive=True)
+def next_path(t: Tables) -> DataFrame:
+    """The path that follows an object's first link."""
+    first = t.links().groupBy("ino").agg(F.min(F.struct("dir_ino", "pos")).alias("l"))
+    return tree.next_path(t.links(), first.select("ino", "l.dir_ino", (F.col("l.pos") + 1).alias("pos")))
 
 
-@query("d19_rename_check", f"WITH {_UP}, a AS (SELECT ino, ancestor FROM u UNION ALL SELECT ino, ino FROM dirents), m AS (SELECT ino, ino * 2 + ino % 3 AS to_dir FROM dirents) SELECT m.ino, m.to_dir, NOT EXISTS (SELECT 1 FROM a WHERE a.ino = m.to_dir AND a.ancestor = m.ino) AS allowed FROM m", "dirents", recursive=True)
+@query("d19_rename_check", f"{_ABOVE}, m AS (SELECT ino, ino * 2 + ino % 3 AS to_dir FROM dirents) SELECT m.ino, m.to_dir, m.ino <> m.to_dir AND NOT EXISTS (SELECT 1 FROM a WHERE a.ino = m.to_dir AND a.ancestor = m.ino) AS allowed FROM m", "links", recursive=True)
 def rename(t: Tables) -> DataFrame:
     moves = t.dirents().select("ino", (F.col("ino") * 2 + F.col("ino") % 3).alias("to_dir"))
-    return tree.rename_allowed(tree.ancestors(t.dirents()), moves)
+    return tree.rename_allowed(t.links(), moves)
 
 
 @query("j14_common_ancestor", f"WITH {_UP}, a AS (SELECT ino, ancestor FROM u UNION ALL SELECT ino, ino FROM dirents), p AS (SELECT ino AS x, ino + 1 AS y FROM dirents WHERE ino % 5 = 0) SELECT p.x, p.y, max(a.ancestor) AS ancestor FROM p JOIN a ON a.ino = p.x JOIN a AS b ON b.ino = p.y AND b.ancestor = a.ancestor GROUP BY p.x, p.y", "dirents", recursive=True)
 def common(t: Tables) -> DataFrame:
-    up = tree.ancestors(t.dirents()).select("ino", "ancestor")
     pairs = t.dirents().where("ino % 5 = 0").select(F.col("ino").alias("x"), (F.col("ino") + 1).alias("y"))
-    return pairs.join(up.withColumnRenamed("ino", "x"), "x").join(up.withColumnRenamed("ino", "y"), ["y", "ancestor"]).groupBy("x", "y").agg(F.max("ancestor").alias("ancestor"))
+    return tree.common_ancestors(t.dirents(), pairs)
 
 
 @query("s21_readdir", "SELECT dir_ino, pos, ino, name FROM dirents WHERE pos >= 2", "dirents")

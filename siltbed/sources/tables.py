@@ -95,6 +95,13 @@ class Tables:
         ino = F.col("p_partkey") + 1
         return self.raw("part").where("p_partkey > 0").select(F.call_function("div", ino, F.lit(2)).alias("dir_ino"), (2 + ino % 2).alias("pos"), ino.alias("ino"), F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 7 == 0, "dir").otherwise("file").alias("type"))
 
+    def links(self) -> DataFrame:
+        """The tree with second and third links of files, in directories two and three levels up."""
+        d = self.dirents()
+        files = d.join(d.select(F.col("dir_ino").alias("ino")).distinct(), "ino", "left_anti")
+        more = lambda k: files.where(F.col("ino") % (k + 1) == 0).select(F.call_function("div", "ino", F.lit(2**k)).alias("dir_ino"), (F.col("ino") + 10 * k).alias("pos"), "ino", F.concat("name", F.lit(f".{k}")).alias("name"), "type")
+        return d.unionByName(more(2)).unionByName(more(3))
+
     def extents(self) -> DataFrame:
         before = F.coalesce(F.sum("val").over(Window.partitionBy("ino").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return self.tags().select("ino", before.alias("start"), F.col("val").alias("len"), F.lit(0).cast("long").alias("map"), F.when(F.col("flag") == "R", 1).otherwise(0).cast("long").alias("flags"))
@@ -163,6 +170,8 @@ SQL = {
     "srch_log": "SELECT b AS hash, ino, id, 0::BIGINT AS run FROM tags UNION ALL SELECT b, ino, id, 1 FROM tags WHERE flag = 'R'",
     "xattr_index": "SELECT p_size::BIGINT AS major, round(p_retailprice * 100)::BIGINT AS minor, p_partkey + 1 AS ino, p_partkey % 3 AS xid FROM part",
     "dirents": "SELECT (p_partkey + 1) // 2 AS dir_ino, 2 + (p_partkey + 1) % 2 AS pos, p_partkey + 1 AS ino, p_name || '-' || p_partkey AS name, CASE WHEN p_partkey % 7 = 0 THEN 'dir' ELSE 'file' END AS type FROM part WHERE p_partkey > 0",
+    "links": "SELECT dir_ino, pos, ino, name, type FROM dirents"
+    + "".join(f" UNION ALL SELECT ino // {2**k}, ino + {10 * k}, ino, name || '.{k}', type FROM dirents WHERE ino % {k + 1} = 0 AND ino NOT IN (SELECT dir_ino FROM dirents)" for k in (2, 3)),
     "extents": "SELECT ino, (sum(val) OVER (PARTITION BY ino ORDER BY id) - val)::BIGINT AS start, val AS len, 0::BIGINT AS map, (CASE WHEN flag = 'R' THEN 1 ELSE 0 END)::BIGINT AS flags FROM tags",
     "mapped": "SELECT ino, start, len, (CASE WHEN flags = 1 THEN 0 ELSE 1000 + start END)::BIGINT AS map, (CASE WHEN flags = 1 THEN 1 WHEN len % 5 = 0 THEN 2 ELSE 0 END)::BIGINT AS flags FROM extents",
     "waiters": "SELECT user_id AS ino, event_id % 16 AS iblock, (CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 4 END)::BIGINT AS op FROM events",
@@ -173,7 +182,7 @@ SQL = {
     "quota_inputs": "SELECT ino AS req, proj, uid, gid, CASE WHEN ino % 2 = 0 THEN 'I' ELSE 'D' END AS op FROM inodes",
     "mounts": "SELECT user_id % 5 AS rid, event_id + 1 AS ino FROM events",
 }
-_NEEDS = {"seq_index": ["inodes"], "xattrs": ["tags"], "totl_delta": ["tags"], "srch_log": ["tags"], "extents": ["tags"], "mapped": ["tags", "extents"], "quota_inputs": ["inodes"]}
+_NEEDS = {"seq_index": ["inodes"], "xattrs": ["tags"], "totl_delta": ["tags"], "links": ["dirents"], "srch_log": ["tags"], "extents": ["tags"], "mapped": ["tags", "extents"], "quota_inputs": ["inodes"]}
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:

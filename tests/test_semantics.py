@@ -168,6 +168,31 @@ def test_paths_and_cycles(spark):
         tree.ancestors(spark.createDataFrame([(2, 3, "a"), (3, 2, "b")], "ino long, dir_ino long, name string"))
 
 
+def test_hard_links_have_a_path_each(spark):
+    rows = [(2, 1, 5, "a"), (3, 1, 7, "b"), (9, 2, 1, "x"), (9, 3, 4, "y"), (9, 3, 8, "z"), (4, 3, 2, "c")]
+    d = spark.createDataFrame(rows, "ino long, dir_ino long, pos long, name string")
+    got = {(r.ino, r.dir_ino, r.pos): r.path for r in tree.paths(d).collect()}
+    assert got == {(2, 1, 5): "/a", (3, 1, 7): "/b", (9, 2, 1): "/a/x", (9, 3, 4): "/b/y", (9, 3, 8): "/b/z", (4, 3, 2): "/b/c"}
+    cursors = [(9, 0, 0), (9, 2, 2), (9, 3, 5), (9, 3, 9), (5, 0, 0)]
+    after = tree.next_path(d, spark.createDataFrame(cursors, "ino long, dir_ino long, pos long"))
+    assert {(r.from_dir, r.from_pos): r.path for r in after.collect()} == {(0, 0): "/a/x", (2, 2): "/b/y", (3, 5): "/b/z"}
+    assert {(r.ancestor, r.depth) for r in tree.ancestors(d).where("ino = 9").collect()} == {(9, 0), (2, 1), (3, 1), (1, 2)}
+    moves = spark.createDataFrame([(3, 4), (2, 4), (3, 3), (4, 1)], "ino long, to_dir long")
+    assert {(r.ino, r.to_dir): r.allowed for r in tree.rename_allowed(d, moves).collect()} == {(3, 4): False, (2, 4): True, (3, 3): False, (4, 1): True}
+
+
+def test_depth_has_no_limit_and_cycles_are_found_deep(spark):
+    deep = [(k + 1, k, 2, str(k)) for k in range(1, 501)]
+    d = spark.createDataFrame(deep, "ino long, dir_ino long, pos long, name string")
+    longest = tree.paths(d).where("ino = 501").first().path
+    assert longest == "".join(f"/{k}" for k in range(1, 501))
+    lost = spark.createDataFrame([(1000, 999, 2, "lost")], d.schema)
+    assert tree.paths(d.unionByName(lost)).where("ino = 1000").count() == 0
+    ring = spark.createDataFrame([(700 + k, 700 + (k + 1) % 90, 2, "r") for k in range(90)], d.schema)
+    with pytest.raises(ValueError):
+        tree.paths(d.unionByName(ring))
+
+
 def test_hashes():
     assert hashing.fnv1a(b"") == 0xCBF29CE484222325
     assert hashing.fnv1a(b"a", 32) == 0xE40C292C
