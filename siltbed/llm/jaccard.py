@@ -18,19 +18,25 @@ over the block are built, the shortest are merged by a heap, candidates with
 enough occurrences are looked up in the long lists by binary search, and
 those that reach the overlap required for both sizes are links.
 
-Documents with the same words are one node, the smallest doc_id of them.  In a
-first pass each list is compared with its most central document only, which
+Documents with the same words are one node; nodes are numbered in the order of
+their least doc_id.  In a first pass each list is compared with its most central document only, which
 unites groups of near copies at a cost linear in their size.  In a second pass
 all pairs of a list whose documents are still in different components are
 compared, as far as their sizes and the places in the lists leave a link
 possible.  Pairs inside a component can not change it, so no link between
 components is lost.
 
+Copies are spread by a hash of doc_id where classes meet their documents, and
+long lists by a hash of the node, so no task holds all of one text's copies or
+all of one list's pairs.
+
 Defined cases: texts without words and null texts have no shingles and link
 with nothing; with fewer words than a shingle has, the whole sequence is one
-shingle; rows that share a doc_id count as one document with several texts;
-rows with a null doc_id get a null component; an empty table gives an empty
-result; other columns are ignored.
+shingle; very long texts are whole; rows that share a doc_id are documents of
+their own, each with its text's set and component; rows with a null doc_id link
+like others and get the least doc_id that they reach, null if there is none;
+equal rows get equal results; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +52,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, table, totals_of
+from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, totals_of
 from .components import connected
 from .scratch import written
 from .textarrays import LOWER, as_long, hash_runs, release, sequence_hash, slices, window_hashes, word_table
@@ -56,8 +62,10 @@ SHINGLE = 5
 BITS, LONG = 40, 64
 #: Bytes of text in a chunk, shingles in a part of the counts.
 CHUNK_BYTES, PART_KEYS = 4 << 20, 1_000_000
-#: Candidates compared with a query at a time; buckets of the filter on the texts that are read again.
-BLOCK, BUCKETS = 256, 1 << 20
+#: Candidates compared with a query at a time; bits of the filter on the texts that are read again.
+BLOCK, BUCKETS = 256, 1 << 23
+#: Shares into which the copies of a text may fall; documents of a list that one task pairs with the others.
+SALTS, SHARE_ROWS = 4096, 1024
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -91,13 +99,16 @@ def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = hash_runs(data, starts, ends)
         spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
         keys = [as_long(np.array([sequence_hash(words[a:b], salt) for a, b in spans], np.uint64)) for salt in (1, 2)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, keys), pa.array(np.diff(first)), pa.array(np.diff(offsets))], names=["doc_id", "k1", "k2", "n_words", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, keys), pa.array(np.diff(first)), pa.array(np.diff(offsets))], names=["doc_id", "spot", "k1", "k2", "n_words", "n_bytes"])
 
 
 def _nodes_of(docs: pa.Table, side: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """The shingle sets of a chunk's documents that stand for their copies; repeated doc_ids each by itself."""
-    nodes = side["node"].drop_null().to_numpy()
-    some = docs.filter(pa.array(np.isin(docs["doc_id"].to_numpy(), nodes))).select(["doc_id", "text"]).combine_chunks()
+    """The shingle sets of a chunk's rows that stand for their copies; equal rows once."""
+    side = side.filter(pc.is_valid(side["node"]))
+    node = dict(zip(zip(side["spot"].to_pylist(), side["doc_id"].to_pylist(), strict=True), side["node"].to_pylist(), strict=True))
+    found = [node.pop(k, None) for k in zip(docs["spot"].to_pylist(), docs["doc_id"].to_pylist(), strict=True)]
+    own = pa.array(found, pa.int64())
+    some = pa.Table.from_arrays([own, docs["text"]], names=["node", "text"]).filter(pc.is_valid(own)).combine_chunks()
     for rows, offsets, data in slices(some.to_batches()):
         yield from zip(rows.column(0).to_pylist(), shingle_sets(offsets, data), strict=True)
 
@@ -107,7 +118,7 @@ def _count(docs: pa.Table, side: pa.Table, parts: int) -> pa.Table:
     prints, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - BITS), return_counts=True)
     del sets
     release()
-    return table(split(docs["chunk"][0].as_py(), 1, prints, counts, parts, BITS) if len(prints) else [])
+    return split(docs["chunk"][0].as_py() if docs.num_rows else 0, 1, prints, counts, parts, BITS)
 
 
 _LISTS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("common", pa.int32()), ("token", pa.int64()), ("place", pa.int32()), ("often", pa.bool_())])
@@ -225,26 +236,30 @@ def _compare(batches: Iterable[pa.RecordBatch], share: int) -> Iterator[pa.Recor
 def verified(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """The links (u, v) among distinct pairs (a, b); a query with many candidates is split into blocks."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    candidates = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), "b").join(texts.withColumnRenamed("doc_id", "b"), "b")
-    queries = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt")).join(texts.withColumnRenamed("doc_id", "a"), "a")
+    candidates = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), "b").join(texts.withColumnRenamed("node", "b"), "b")
+    queries = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt")).join(texts.withColumnRenamed("node", "a"), "a")
     rows = queries.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(candidates.select("a", "salt", "b", "text"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(lambda it: _compare(it, share), "u long, v long")
 
 
-def _only(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _only(batches: Iterable[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.select([0, 1]).filter(pa.array(wanted[batch.column(2).to_numpy(zero_copy_only=False)]))
+        k = batch.column(3).to_numpy(zero_copy_only=False)
+        yield batch.select([0, 1, 2]).filter(pa.array((words[k >> 6] >> (k & 63)) & 1 == 1))
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The texts of the documents in pairs.  A filter of fixed size spares the shuffle most of the others."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    wanted = np.zeros(BUCKETS, bool)
-    wanted[nodes.select(bucket.alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
-    some = docs.where("doc_id is not null").select("doc_id", "text", bucket.alias("k")).mapInArrow(lambda it: _only(it, wanted), "doc_id long, text string")
-    return written(some.join(nodes, "doc_id", "left_semi"))
+def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in pairs.  A filter of fixed size, of sums made before they come to the driver, spares the shuffle most of the other texts."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(classes.join(nodes, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "spot"))
+    bucket = F.pmod("spot", F.lit(BUCKETS))
+    sums = wanted.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(spot, {BUCKETS}) & 63 as int))")).alias("bits")).toPandas()
+    words = np.zeros(BUCKETS >> 6, np.int64)
+    words[sums["word"].to_numpy(np.int64)] = sums["bits"].to_numpy(np.int64)
+    some = docs.select("doc_id", "text", "spot", bucket.alias("k")).mapInArrow(lambda it: _only(it, words), "doc_id long, text string, spot long")
+    found = some.join(wanted.withColumnRenamed("doc_id", "of"), [some["spot"] == wanted["spot"], F.col("doc_id").eqNullSafe(F.col("of"))])
+    return written(found.select("node", "text").dropDuplicates(["node"]))
 
 
 def _near(a: str, b: str, share: int) -> Column:
@@ -253,15 +268,19 @@ def _near(a: str, b: str, share: int) -> Column:
 
 def components(docs: DataFrame, share: int = 80, chunk_bytes: int = CHUNK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = written(docs.mapInArrow(_profile, "doc_id long, k1 long, k2 long, n_words long, n_bytes long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("spot", F.xxhash64("doc_id", "text"))
+    members = written(docs.select("doc_id", "spot", "text").mapInArrow(_profile, "doc_id long, spot long, k1 long, k2 long, n_words long, n_bytes long"))
     total = members.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     chunks, parts = 1 + total[0] // chunk_bytes, 1 + total[1] // part_keys
-    classes = written(members.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
-
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
-    dealt = docs.where("doc_id is not null").select("doc_id", "text", chunk("doc_id"))
-    nodes = classes.select("node", chunk("node")).distinct()
+    # One row for each text and share of its copies, then one for each text, in the order of doc_id.
+    salted = members.where("n_words > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    shares = written(salted.groupBy("k1", "k2", "salt").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "spot")).alias("first")))
+    firsts = shares.groupBy("k1", "k2").agg(F.min("first").alias("first")).select("k1", "k2", F.col("first.doc_id").alias("least"), F.col("first.spot").alias("spot"))
+    classes = written(firsts.orderBy(F.col("least").asc_nulls_last(), "k1", "k2").withColumn("node", F.monotonically_increasing_id()))
+
+    chunk = F.pmod(F.col("spot"), F.lit(chunks)).cast("int").alias("chunk")
+    dealt = docs.select("doc_id", "text", "spot", chunk)
+    nodes = classes.select("node", F.col("least").alias("doc_id"), "spot", chunk)
     counted = dealt.groupBy("chunk").cogroup(nodes.groupBy("chunk")).applyInArrow(lambda d, n: _count(d, n, parts), COUNT_SCHEMA)
     totals = counted.groupBy("part").applyInArrow(add_part, TOTAL_SCHEMA)
     side = nodes.unionByName(totals, allowMissingColumns=True)
@@ -269,18 +288,22 @@ def components(docs: DataFrame, share: int = 80, chunk_bytes: int = CHUNK_BYTES,
     # A partner whose first common shingle stands at this place has at most so many shingles.
     most = F.expr(f"cast(((100 + {share}) * (size - place) - {share} * size) div {share} as int)").alias("most")
     shared = written(_lists(lists.where("place >= 0").select("token", "node", "size", most, "common", "often")))
-    sizes = lists.where("place < 0").groupBy("node").agg(F.max("size").cast("long").alias("n_shingles"))
+    sizes = lists.where("place < 0").select("node", F.col("size").cast("long").alias("n_shingles"))
 
     fits = (F.col("size") <= F.col("hub_most")) & (F.col("hub_size") <= F.col("most"))
     first = written(shared.where("node <> hub").where(fits & _near("size", "hub_size", share)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = written(verified(first, _texts_of(first, docs), share))
+    links = written(verified(first, _texts_of(first, docs, classes), share))
     labels = connected(links)
     second = written(_across(shared, labels, share).join(first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
-    more = written(verified(second, _texts_of(second, docs), share))
+    more = written(verified(second, _texts_of(second, docs, classes), share))
     roots = connected(links.unionByName(more))
 
-    known = members.join(classes, ["k1", "k2"], "left").join(sizes.join(roots, "node", "left"), "node", "left")
-    return known.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("component_id"))
+    # What a text's documents get, by text, then by share of its copies, then by document.
+    named = roots.join(classes.select(F.col("node").alias("root"), F.col("least").alias("label")), "root").select("node", "label")
+    known = classes.join(sizes, "node").join(named, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("label", "least").alias("component_id"))
+    spread = shares.select("k1", "k2", "salt").join(known, ["k1", "k2"])
+    filled = salted.join(spread, ["k1", "k2", "salt"]).select("doc_id", "n_shingles", "component_id")
+    return filled.unionByName(members.where("n_words = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _lists(lists: DataFrame) -> DataFrame:
@@ -297,10 +320,10 @@ def _lists(lists: DataFrame) -> DataFrame:
 def _across(shared: DataFrame, labels: DataFrame, share: int) -> DataFrame:
     """Distinct pairs (a, b) of a list in different components that sizes and places leave possible."""
     rows = shared.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("token", "node", "size", "most", F.coalesce("root", "node").alias("root"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("size").alias("least"), F.max("most").alias("largest")).where("r < s").drop("r", "s")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("size").alias("least"), F.max("most").alias("largest"), F.ceil(F.count("*") / SHARE_ROWS).cast("int").alias("shares")).where("r < s").drop("r", "s")
     # Rows that no partner in the list can fit.
     rows = rows.join(mixed, "token").where("most >= least and size <= largest").drop("least", "largest")
-    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "most", "root")])
-    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "most", "root")])
-    pairs = x.join(y, "token").where("x_root <> y_root and x_node < y_node and x_size <= y_most and y_size <= x_most").where(_near("x_size", "y_size", share))
+    x = rows.select("token", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("salt"), *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "most", "root")])
+    y = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "most", "root")])
+    pairs = x.join(y, ["token", "salt"]).where("x_root <> y_root and x_node < y_node and x_size <= y_most and y_size <= x_most").where(_near("x_size", "y_size", share))
     return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()

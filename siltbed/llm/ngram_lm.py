@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, table, totals_of
+from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, totals_of
 from .textarrays import LOWER, hash_runs, slices, window_hashes, word_table
 
 CHUNK_BYTES, PART_GRAMS = 8 << 20, 2_000_000
@@ -67,10 +67,7 @@ def _grams(words: np.ndarray, first: np.ndarray, m: int) -> tuple[np.ndarray, np
 def _count_chunk(docs: pa.Table, order: int, parts: int) -> pa.Table:
     chunk = docs["chunk"][0].as_py()
     words, first = _words(docs)
-    rows = []
-    for m in range(1, order + 1):
-        rows += split(chunk, m, *np.unique(_grams(words, first, m)[0], return_counts=True), parts)
-    return table(rows)
+    return pa.concat_tables(split(chunk, m, *np.unique(_grams(words, first, m)[0], return_counts=True), parts) for m in range(1, order + 1))
 
 
 def _score_chunk(docs: pa.Table, totals: pa.Table, order: int, alpha: float, n_all: int, leave_out: bool) -> pa.Table:
