@@ -192,12 +192,12 @@ def test_shortage_goes_to_siblings_first(spark):
 
 
 def test_prefix_fills_each_budget(spark):
-    out = mixing.plan_rows(docs(spark), digits=1)
+    out = mixing.plan_rows(docs(spark), buckets=16)
     spent = out.groupBy("domain", "lang", "source").agg(F.sum("taken_tokens").alias("spent"), F.sum("n_tokens").alias("supply"))
     leaves = spent.select("domain", "lang", "source", "supply")
     want = mixing.leaf_budgets(leaves)
     assert spent.join(want, ["domain", "lang", "source"]).where("spent <> budget").count() == 0
-    rows = mixing.select(docs(spark), digits=1)
+    rows = mixing.select(docs(spark), buckets=16)
     assert rows.columns == docs(spark).columns
     times = rows.groupBy("doc_id").count().withColumnRenamed("count", "times").join(out, "doc_id")
     assert times.where("times < epochs or times > epochs + 1").count() == 0
