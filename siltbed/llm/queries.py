@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import bpe, chat, gif, jaccard, licenses, mixing, ngram_lm, pseudonyms, quality, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Where the session sets no key, as in a check; pseudonyms under it hide nothing from those who read this.
+PUBLIC_KEY = "siltbed"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, findings="kinds").select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+    key = spark.conf.get(pseudonyms.KEY_SETTING, PUBLIC_KEY)
+    return pseudonyms.pseudonymise(docs, key, findings="kinds").select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
