@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm import bpe, jaccard, mixing, pseudonyms, toxicity
+from siltbed.llm import bpe, jaccard, mixing, pseudonyms, queries, toxicity
 from siltbed.llm.scratch import written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -35,8 +35,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms of the same format."""
-    return pseudonyms.pseudonymise(docs)
+    """All documents, personal data replaced by pseudonyms of the same format.
+
+    The key is the session's, or the public one of the registered queries.
+    """
+    return pseudonyms.pseudonymise(docs, spark.conf.get(pseudonyms.KEY_SETTING, queries.PUBLIC_KEY))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
