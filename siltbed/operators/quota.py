@@ -32,11 +32,13 @@ def rank() -> Column:
 
 
 def valid(rule: DataFrame) -> DataFrame:
-    """Adds is_valid: known sources and op; a selecting name needs an attribute, a literal selects nothing."""
+    """Adds is_valid: known sources, flags and op; only attributes select; no attribute is selected with two values."""
     ok = F.col("op").isin("I", "D") & F.col("rflag").isin("C", "-")
     for i in "012":
         ok &= F.col(f"s{i}").isin(*SOURCE_CODE) & F.col(f"f{i}").isin("S", "-") & ~((F.col(f"s{i}") == "L") & (F.col(f"f{i}") == "S"))
-    return rule.withColumn("is_valid", ok)
+    for i, j in ("01", "02", "12"):
+        ok &= ~((F.col(f"f{i}") == "S") & (F.col(f"f{j}") == "S") & (F.col(f"s{i}") == F.col(f"s{j}")) & (F.col(f"v{i}") != F.col(f"v{j}")))
+    return rule.withColumn("is_valid", F.coalesce(ok, F.lit(False)))
 
 
 def listing(rules: DataFrame) -> DataFrame:
@@ -54,15 +56,34 @@ def _selects(i: int) -> Column:
     return (F.col(f"f{i}") != "S") | (_part(i) == F.col(f"v{i}"))
 
 
-def matches(inputs: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each input its greatest matching rule: the total's name, the limit and the rule's flag.
+def selecting(inputs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each input with the selecting rules that match it.
 
-    Rules are configuration; they are broadcast while Spark's own limit on
-    broadcast sizes allows it and joined by op otherwise.
+    A rule is looked up by the first attribute it selects and that attribute's value, so an input meets only
+    rules that select one of its three values, however many rules there are; a further selection is then checked.
     """
-    named = rules.withColumn("rank", rank()).withColumnRenamed("op", "rule_op")
-    both = inputs.join(named, (F.col("op") == F.col("rule_op")) & _selects(0) & _selects(1) & _selects(2))
-    best = both.groupBy("req").agg(F.max_by(F.struct(_part(0).alias("a"), _part(1).alias("b"), _part(2).alias("c"), "lim", "rflag", "prio"), "rank").alias("m"))
+    first = lambda c: F.coalesce(*[F.when(F.col(f"f{i}") == "S", F.col(f"{c}{i}")) for i in "012"])
+    index = rules.where("f0 = 'S' or f1 = 'S' or f2 = 'S'").withColumn("by", first("s")).withColumn("value", first("v"))
+    probes = F.array(*[F.struct(F.lit(s).alias("by"), F.col(a).cast("long").alias("value")) for s, a in ATTRIBUTE.items()])
+    asked = inputs.select("*", F.explode(probes).alias("probe")).select(*inputs.columns, "probe.by", "probe.value")
+    return asked.join(index, ["op", "by", "value"]).where(_selects(0) & _selects(1) & _selects(2))
+
+
+def defaults(rules: DataFrame) -> DataFrame:
+    """The greatest rule of each op that selects nothing: two rows at most."""
+    free = rules.where("f0 <> 'S' and f1 <> 'S' and f2 <> 'S'")
+    rest = [c for c in free.columns if c != "op"]
+    return free.withColumn("rank", rank()).groupBy("op").agg(F.max_by(F.struct(*rest), "rank").alias("r")).select("op", "r.*")
+
+
+def matches(inputs: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each input its greatest matching rule: the total's name, the limit and the rule's flag."""
+    answer = F.struct(_part(0).alias("a"), _part(1).alias("b"), _part(2).alias("c"), "lim", "rflag", "prio")
+    ranked = rank().alias("rank")
+    found = selecting(inputs, rules).select("req", ranked, answer.alias("m"))
+    # Two rows at most are broadcast.
+    fallback = inputs.join(F.broadcast(defaults(rules)), "op").select("req", ranked, answer.alias("m"))
+    best = found.unionByName(fallback).groupBy("req").agg(F.max_by("m", "rank").alias("m"))
     return best.select("req", "m.*")
 
 

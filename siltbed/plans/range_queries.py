@@ -122,12 +122,8 @@ def open_bitmaps(t: Tables) -> DataFrame:
 
 @query("s14_all_allocators", "SELECT CASE id % 5 WHEN 0 THEN 'server' WHEN 1 THEN 'mount' WHEN 2 THEN 'search' WHEN 3 THEN 'merge' ELSE 'super' END AS owner, meta, avail, sum(blocks)::BIGINT AS blocks FROM alloc GROUP BY ALL", "alloc")
 def all_allocators(t: Tables) -> DataFrame:
-    a, owners = t.alloc(), ("server", "mount", "search", "merge", "super")
-    parts = [a.where(F.col("id") % 5 == i).withColumn("owner", F.lit(o)) for i, o in enumerate(owners)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("owner", "meta", "avail").agg(F.sum("blocks").alias("blocks"))
+    owner = F.element_at(F.array(*map(F.lit, ("server", "mount", "search", "merge", "super"))), (F.col("id") % 5 + 1).cast("int"))
+    return t.alloc().groupBy(owner.alias("owner"), "meta", "avail").agg(F.sum("blocks").alias("blocks"))
 
 
 @query("s15_allocator_extents", "SELECT ino, start, len FROM mapped WHERE map = 0 AND ino % 12 = 5", "mapped")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import extents, index, quota, tree
+from ..operators import attributes, extents, index, quota, tree
 from ..sources.tables import Tables
 from .catalog import query
 
@@ -43,16 +43,16 @@ def quota_check(t: Tables) -> DataFrame:
 
 @query("j02_matching_rules", "SELECT req, count(*) AS n FROM quota_inputs q JOIN quota_rules r ON q.op = r.op AND " + " AND ".join(f"(f{i} <> 'S' OR {_PART.format(i=i)} = v{i})" for i in range(3)) + " GROUP BY req", "quota_rules", "quota_inputs")
 def matching(t: Tables) -> DataFrame:
-    rules = t.quota_rules().withColumnRenamed("op", "rule_op")
-    sel = (F.col("op") == F.col("rule_op")) & quota._selects(0) & quota._selects(1) & quota._selects(2)
-    return t.quota_inputs().join(rules, sel).groupBy("req").agg(F.count("*").alias("n"))
+    """Rules that select are looked up; those that do not match every input of their op and are only counted."""
+    free = t.quota_rules().where("f0 <> 'S' and f1 <> 'S' and f2 <> 'S'").groupBy("op").agg(F.count("*").alias("n"))
+    found = quota.selecting(t.quota_inputs(), t.quota_rules()).select("req", F.lit(1).cast("long").alias("n"))
+    every = t.quota_inputs().join(F.broadcast(free), "op").select("req", "n")
+    return found.unionByName(every).groupBy("req").agg(F.sum("n").alias("n"))
 
 
 @query("w02_default_rule", f"SELECT * FROM quota_rules r WHERE 'S' NOT IN (f0, f1, f2) QUALIFY row_number() OVER (PARTITION BY op ORDER BY {_ORDER}) = 1", "quota_rules")
 def default_rule(t: Tables) -> DataFrame:
-    free = t.quota_rules().where("f0 <> 'S' and f1 <> 'S' and f2 <> 'S'")
-    rest = [c for c in free.columns if c != "op"]
-    return free.withColumn("rank", quota.rank()).groupBy("op").agg(F.max_by(F.struct(*rest), "rank").alias("r")).select("r.*", "op").select(*free.columns)
+    return quota.defaults(t.quota_rules()).select(*t.quota_rules().columns)
 
 
 @query("o04_rule_listing", f"SELECT *, row_number() OVER (ORDER BY {_ORDER})::INT AS n FROM quota_rules r", "quota_rules")
@@ -63,9 +63,15 @@ def rule_listing(t: Tables) -> DataFrame:
     return t.quota_rules().withColumn("n", F.row_number().over(Window.orderBy(*[quota.code(c).desc() for c in quota.ORDER])))
 
 
-@query("p12_rule_validity", "SELECT prio, lim, op, rflag, true AS is_valid FROM quota_rules", "quota_rules")
+@query(
+    "p12_rule_validity",
+    "SELECT n, rflag IN ('C', '-') AND op IN ('I', 'D') AND s0 IN ('L', 'P', 'U', 'G') AND s1 IN ('L', 'P', 'U', 'G') AND s2 IN ('L', 'P', 'U', 'G') AND NOT ('L' IN (CASE WHEN f0 = 'S' THEN s0 END, CASE WHEN f1 = 'S' THEN s1 END, CASE WHEN f2 = 'S' THEN s2 END)) IS TRUE AND f0 IN ('S', '-') AND f1 IN ('S', '-') AND f2 IN ('S', '-')"
+    " AND (SELECT count(DISTINCT (s, v)) = count(DISTINCT s) FROM (VALUES (s0, f0, v0), (s1, f1, v1), (s2, f2, v2)) AS p(s, f, v) WHERE f = 'S') AS is_valid FROM rule_candidates",
+    "rule_candidates",
+)
 def rule_validity(t: Tables) -> DataFrame:
-    return quota.valid(t.quota_rules()).select("prio", "lim", "op", "rflag", "is_valid")
+    """Valid and invalid rules, each kind of fault among them."""
+    return quota.valid(t.rule_candidates()).select("n", "is_valid")
 
 
 @query("p13_rule_text", "SELECT concat_ws(' ', prio, concat_ws(',', v0, s0, f0), concat_ws(',', v1, s1, f1), concat_ws(',', v2, s2, f2), op, lim, rflag) AS rule, prio, v0, s0, f0, v1, s1, f1, v2, s2, f2, op, lim, rflag FROM quota_rules", "quota_rules")
@@ -167,10 +173,7 @@ def alignment(t: Tables) -> DataFrame:
 
 @query("s13_alloc_detail", "SELECT id, meta, avail, sum(blocks)::BIGINT AS blocks FROM alloc GROUP BY ALL", "alloc")
 def alloc_detail(t: Tables) -> DataFrame:
-    a = t.alloc()
-    owners = [a.where(F.col("id") % 4 == k) for k in range(4)]
-    rows = owners[0].unionByName(owners[1]).unionByName(owners[2]).unionByName(owners[3])
-    return rows.groupBy("id", "meta", "avail").agg(F.sum("blocks").alias("blocks"))
+    return t.alloc().groupBy("id", "meta", "avail").agg(F.sum("blocks").alias("blocks"))
 
 
 @query("a14_df", "SELECT meta, sum(blocks)::BIGINT AS total, greatest(0, sum(blocks) FILTER (avail) - CASE WHEN meta THEN 500 ELSE 0 END)::BIGINT AS free, ((sum(blocks) - greatest(0, sum(blocks) FILTER (avail) - CASE WHEN meta THEN 500 ELSE 0 END)) * 100 // sum(blocks))::BIGINT AS used_percent FROM alloc GROUP BY meta", "alloc")
@@ -235,7 +238,26 @@ def setxattr_logs(t: Tables) -> DataFrame:
 
 @query("s17_stat_more", "SELECT ino, size, meta_seq, data_version FROM inodes WHERE nlink > 0", "inodes")
 def stat_more(t: Tables) -> DataFrame:
-    return t.inodes().where("nlink > 0").select("ino", "size", "meta_seq", "data_version")
+    """One mask for all objects."""
+    asked = sum(attributes.MASK[c] for c in ("size", "meta_seq", "data_version"))
+    return attributes.columns_of(t.inodes().where("nlink > 0"), asked)
+
+
+@query(
+    "s17_attributes_by_mask",
+    "WITH o AS (SELECT ino, (coalesce(sum(len) FILTER (map <> 0 AND flags & 2 = 0), 0))::BIGINT AS on_, (coalesce(sum(len) FILTER (NOT (map <> 0 AND flags & 2 = 0) AND flags & 1 <> 0), 0))::BIGINT AS off FROM mapped GROUP BY ino), c AS (SELECT *, ino * 37 % 1024 AS m FROM inodes LEFT JOIN o USING (ino)) SELECT ino, "
+    + ", ".join(f"CASE WHEN m & {bit} <> 0 THEN {c} END AS {n}" for n, bit, c in (("meta_seq", 1, "meta_seq"), ("data_seq", 2, "CASE WHEN NOT is_dir THEN meta_seq END"), ("data_version", 4, "data_version"), ("online_blocks", 8, "coalesce(on_, 0)"), ("offline_blocks", 16, "coalesce(off, 0)"), ("size", 128, "size"), ("retention", 256, "flags & 2 <> 0"), ("project", 512, "proj")))
+    + " FROM c",
+    "inodes",
+    "mapped",
+)
+def attributes_by_mask(t: Tables) -> DataFrame:
+    """Every object with a mask of its own; attributes that were not asked for are null."""
+    blocks = extents.on_off(t.mapped()).select("ino", F.col("online").alias("online_blocks"), F.col("offline").alias("offline_blocks"))
+    data_seq = F.when(~F.col("is_dir"), F.col("meta_seq"))
+    known = t.inodes().select("ino", "meta_seq", data_seq.alias("data_seq"), "data_version", "size", (F.col("flags").bitwiseAND(2) != 0).alias("retention"), F.col("proj").alias("project"))
+    known = known.join(blocks, "ino", "left").na.fill(0, ["online_blocks", "offline_blocks"])
+    return attributes.chosen(known, t.inodes().select("ino", (F.col("ino") * 37 % 1024).alias("mask")))
 
 
 @query("s32_counters", "SELECT event_type AS name, count(*) AS value FROM events GROUP BY 1")
@@ -243,17 +265,26 @@ def counters(t: Tables) -> DataFrame:
     return t.raw("events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("value")).orderBy("name")
 
 
-@query("d14_setattr_validation", "SELECT ino, CASE WHEN (flags & 2) <> 0 THEN 'retained' WHEN is_dir THEN 'not a file' WHEN size > 0 AND data_version = 1 THEN 'has data' ELSE 'ok' END AS status FROM inodes", "inodes")
+_ASKED = "mask <> 0 AND NOT ((mask & 4 <> 0 AND new_version = 0) OR (mask & 132 <> 0 AND (is_dir OR data_version <> 0)) OR (mask & 128 <> 0 AND new_size > 0 AND (mask & 4 = 0 OR new_version = 0)) OR (change_flags & 1 <> 0 AND (mask & 128 = 0 OR new_size = 0)) OR (mask & 256 <> 0 AND is_dir))"
+_STATUS = f"CASE WHEN mask = 0 THEN 'none' WHEN NOT ({_ASKED}) THEN 'invalid' WHEN flags & 2 <> 0 AND NOT (mask & 256 <> 0 AND bits & 1 = 0) THEN 'retained' ELSE 'ok' END"
+
+
+@query("d14_setattr_validation", f"SELECT ino, {_STATUS} AS status FROM fresh_inodes JOIN attr_changes USING (ino)", "fresh_inodes", "attr_changes")
 def setattr_validation(t: Tables) -> DataFrame:
-    """The first rule that fails is reported."""
-    status = F.when(F.col("flags").bitwiseAND(2) != 0, "retained").when(F.col("is_dir"), "not a file").when((F.col("size") > 0) & (F.col("data_version") == 1), "has data").otherwise("ok")
-    return t.inodes().select("ino", status.alias("status"))
+    """Whether a change may be made: the interface's rules, then retention."""
+    return t.fresh_inodes().join(t.attr_changes(), "ino").select("ino", attributes.status().alias("status"))
 
 
-@query("d24_all_or_nothing", "SELECT ino, CASE WHEN (flags & 2) <> 0 OR is_dir THEN size ELSE 4096 END AS size, CASE WHEN (flags & 2) <> 0 OR is_dir THEN proj ELSE 9 END AS proj FROM inodes", "inodes")
+@query(
+    "d24_all_or_nothing",
+    f"WITH s AS (SELECT *, {_STATUS} AS status FROM fresh_inodes JOIN attr_changes USING (ino)) SELECT ino, status, CASE WHEN status = 'ok' AND mask & 4 <> 0 THEN new_version ELSE data_version END AS data_version, CASE WHEN status = 'ok' AND mask & 128 <> 0 THEN new_size ELSE size END AS size,"
+    " CASE WHEN status = 'ok' AND mask & 256 <> 0 THEN (flags & ~2) | CASE WHEN bits & 1 <> 0 THEN 2 ELSE 0 END ELSE flags END AS flags, CASE WHEN status = 'ok' AND mask & 512 <> 0 THEN new_proj ELSE proj END AS proj, (CASE WHEN status = 'ok' AND change_flags & 1 <> 0 THEN (new_size + 4095) // 4096 ELSE 0 END)::BIGINT AS offline_made FROM s",
+    "fresh_inodes",
+    "attr_changes",
+)
 def all_or_nothing(t: Tables) -> DataFrame:
-    ok = (F.col("flags").bitwiseAND(2) == 0) & ~F.col("is_dir")
-    return t.inodes().select("ino", F.when(ok, 4096).otherwise(F.col("size")).alias("size"), F.when(ok, 9).otherwise(F.col("proj")).alias("proj"))
+    """A change is made whole or not at all; retention stops all but the change that ends it."""
+    return attributes.change(t.fresh_inodes(), t.attr_changes())
 
 
 @query("d20_inode_numbers", "SELECT o_custkey, o_orderkey, (o_custkey * 1024 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS ino FROM orders")

@@ -133,6 +133,21 @@ class Tables:
     def quota_inputs(self) -> DataFrame:
         return self.inodes().select(F.col("ino").alias("req"), "proj", "uid", "gid", F.when(F.col("ino") % 2 == 0, "I").otherwise("D").alias("op"))
 
+    def rule_candidates(self) -> DataFrame:
+        names = "prio long, v0 long, s0 string, f0 string, v1 long, s1 string, f1 string, v2 long, s2 string, f2 string, op string, lim long, rflag string, n long"
+        return self.spark.createDataFrame([(*r, i) for i, r in enumerate(QUOTA_RULES + FAULTY_RULES)], names)
+
+    def fresh_inodes(self) -> DataFrame:
+        """Objects of which a third have no data yet (version 0)."""
+        return self.inodes().withColumn("data_version", F.when(F.col("ino") % 3 == 0, 0).otherwise(F.col("data_version")).cast("long"))
+
+    def attr_changes(self) -> DataFrame:
+        ino = F.col("ino")
+        half = lambda n: F.call_function("div", ino, F.lit(n)) % 2
+        # Mostly few bits at a time, as a change with all of them is seldom valid.
+        mask = F.when(ino % 7 == 0, 132).when(ino % 7 == 1, 256).when(ino % 7 == 2, 512).when(ino % 7 == 3, 4).otherwise(ino * 37 % 1024)
+        return self.inodes().select("ino", mask.cast("long").alias("mask"), half(9).alias("change_flags"), (half(5) * 5000).alias("new_size"), (ino % 4).alias("new_version"), half(11).alias("bits"), F.lit(9).cast("long").alias("new_proj"))
+
     def mounts(self) -> DataFrame:
         """Which objects each mount holds open, in groups of 1024."""
         return self.raw("events").select((F.col("user_id") % 5).alias("rid"), (F.col("event_id") + 1).alias("ino"))
@@ -154,8 +169,23 @@ QUOTA_RULES = [
     (6, 20, "G", "S", 8, "L", "-", 0, "L", "-", "I", 1500, "-"),
 ]
 
+#: A fault each: op, flag, source, a literal that selects, one attribute selected with two values (three ways); then two valid ones.
+FAULTY_RULES = [
+    (1, 1, "L", "-", 1, "L", "-", 0, "L", "-", "X", 1, "-"),
+    (1, 1, "L", "-", 1, "L", "-", 0, "L", "-", "I", 1, "x"),
+    (1, 1, "Z", "-", 1, "L", "-", 0, "L", "-", "I", 1, "-"),
+    (1, 1, "L", "S", 1, "L", "-", 0, "L", "-", "I", 1, "-"),
+    (1, 1, "U", "S", 2, "U", "S", 0, "L", "-", "I", 1, "-"),
+    (1, 1, "G", "S", 2, "L", "-", 3, "G", "S", "D", 1, "-"),
+    (1, 1, "L", "-", 2, "P", "S", 3, "P", "S", "D", 1, "C"),
+    (1, 5, "U", "S", 5, "U", "S", 5, "U", "S", "I", 1, "-"),
+    (1, 5, "U", "S", 6, "U", "-", 7, "G", "S", "D", 1, "-"),
+]
+
 _RULE_ROWS = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in QUOTA_RULES)
 
+_CANDIDATES = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in (*r, i)) + ")" for i, r in enumerate(QUOTA_RULES + FAULTY_RULES))
+
 SQL = {
     "inodes": """SELECT o_orderkey + 1 AS ino, floor(o_totalprice)::BIGINT AS size, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS meta_seq, 1 + o_orderkey % 5 AS data_version,
   o_custkey AS uid, (c_nationkey + 1)::BIGINT AS gid, o_custkey % 8 AS proj, o_orderkey % 10 = 0 AS is_dir, (CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE 1 END)::BIGINT AS nlink, o_orderkey % 4 AS flags
@@ -179,10 +209,13 @@ SQL = {
     "open_inos": "SELECT DISTINCT event_id + 1 AS ino FROM events WHERE event_id % 5 = 0",
     "alloc": "SELECT p_partkey % 12 AS id, p_partkey % 3 = 0 AS meta, p_partkey % 2 = 0 AS avail, p_size::BIGINT AS blocks FROM part",
     "quota_rules": f"SELECT prio::BIGINT AS prio, v0::BIGINT AS v0, s0, f0, v1::BIGINT AS v1, s1, f1, v2::BIGINT AS v2, s2, f2, op, lim::BIGINT AS lim, rflag FROM (VALUES {_RULE_ROWS}) AS t(prio, v0, s0, f0, v1, s1, f1, v2, s2, f2, op, lim, rflag)",
+    "rule_candidates": f"SELECT prio::BIGINT AS prio, v0::BIGINT AS v0, s0, f0, v1::BIGINT AS v1, s1, f1, v2::BIGINT AS v2, s2, f2, op, lim::BIGINT AS lim, rflag, n::BIGINT AS n FROM (VALUES {_CANDIDATES}) AS t(prio, v0, s0, f0, v1, s1, f1, v2, s2, f2, op, lim, rflag, n)",
+    "fresh_inodes": "SELECT * REPLACE (CASE WHEN ino % 3 = 0 THEN 0 ELSE data_version END AS data_version) FROM inodes",
+    "attr_changes": "SELECT ino, CASE ino % 7 WHEN 0 THEN 132 WHEN 1 THEN 256 WHEN 2 THEN 512 WHEN 3 THEN 4 ELSE ino * 37 % 1024 END AS mask, ino // 9 % 2 AS change_flags, ino // 5 % 2 * 5000 AS new_size, ino % 4 AS new_version, ino // 11 % 2 AS bits, 9::BIGINT AS new_proj FROM inodes",
     "quota_inputs": "SELECT ino AS req, proj, uid, gid, CASE WHEN ino % 2 = 0 THEN 'I' ELSE 'D' END AS op FROM inodes",
     "mounts": "SELECT user_id % 5 AS rid, event_id + 1 AS ino FROM events",
 }
-_NEEDS = {"seq_index": ["inodes"], "xattrs": ["tags"], "totl_delta": ["tags"], "links": ["dirents"], "srch_log": ["tags"], "extents": ["tags"], "mapped": ["tags", "extents"], "quota_inputs": ["inodes"]}
+_NEEDS = {"seq_index": ["inodes"], "xattrs": ["tags"], "totl_delta": ["tags"], "links": ["dirents"], "srch_log": ["tags"], "extents": ["tags"], "mapped": ["tags", "extents"], "quota_inputs": ["inodes"], "fresh_inodes": ["inodes"], "attr_changes": ["inodes"]}
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:
