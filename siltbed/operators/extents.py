@@ -157,3 +157,97 @@ def move_blocks(extents: DataFrame, moves: DataFrame) -> DataFrame:
 def zones_of(extents: DataFrame, size: int = 16) -> DataFrame:
     """A row for each zone of ``size`` blocks that an extent touches."""
     return extents.withColumn("zone", F.explode(F.sequence(F.call_function("div", F.col("start"), F.lit(size)), F.call_function("div", F.col("start") + F.col("len") - 1, F.lit(size)))))
+
+
+# ---- changes with the checks of their interface, in bytes; one for each object at most
+
+BLOCK = 4096
+
+
+def _up(size: Column) -> Column:
+    """Blocks that hold so many bytes."""
+    return F.call_function("div", size + (BLOCK - 1), F.lit(BLOCK))
+
+
+def subtract(extents: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The parts of extents outside any number of disjoint ranges (ino, first, end)."""
+    e_end = F.col("start") + F.col("len")
+    r = ranges.select("ino", "first", "end")
+    rows = extents.join(r, [extents["ino"] == r["ino"], r["first"] < e_end, r["end"] > F.col("start")], "left").select(extents["ino"], "start", "len", "map", "flags", "first", "end")
+    w = Window.partitionBy("ino", "start").orderBy("first")
+    rows = rows.select("*", F.greatest("start", F.coalesce(F.lag("end").over(w), F.col("start"))).alias("lo"), F.lead("first").over(w).isNull().alias("last"))
+    gap = F.struct("lo", F.least(e_end, F.coalesce("first", e_end)).alias("hi"))
+    tail = F.struct(F.coalesce("end", e_end).alias("lo"), e_end.alias("hi"))
+    parts = rows.select("ino", "start", "map", "flags", F.explode(F.when(F.col("last"), F.array(gap, tail)).otherwise(F.array(gap))).alias("p")).where("p.lo < p.hi")
+    return parts.select("ino", F.col("p.lo").alias("start"), (F.col("p.hi") - F.col("p.lo")).alias("len"), shifted(F.col("map"), F.col("p.lo") - F.col("start")).alias("map"), "flags")
+
+
+def release_checked(extents: DataFrame, requests: DataFrame, inodes: DataFrame) -> DataFrame:
+    """Releases (ino, offset, length, version) of regular files under their data version, in whole blocks.
+
+    An object that is left without online blocks also loses what lies behind its size.
+    """
+    rows = requests.join(inodes.select("ino", "size", "data_version", "is_dir"), "ino")
+    ok = rows.where((F.col("length") > 0) & (F.col("offset") % BLOCK == 0) & (F.col("length") % BLOCK == 0) & ~F.col("is_dir") & (F.col("version") == F.col("data_version")))
+    span = F.call_function("div", F.col("offset"), F.lit(BLOCK)).alias("first"), F.call_function("div", F.col("offset") + F.col("length"), F.lit(BLOCK)).alias("end")
+    after = release(extents, ok.select("ino", *span))
+    empty = on_off(after).where("online = 0").select("ino")
+    cut = ok.where("size > 0").join(empty, "ino", "left_semi").select("ino", _up(F.col("size")).alias("first"), F.lit(2**62).alias("end"))
+    return remove(after, cut)
+
+
+def stage_status(requests: DataFrame, inodes: DataFrame) -> DataFrame:
+    """Stages (ino, offset, length, version) with what they ask for checked: 'none', 'invalid', 'stale' or 'ok'."""
+    end = F.col("offset") + F.col("length")
+    wrong = (F.col("length") < 0) | (F.col("offset") % BLOCK != 0)
+    outside = F.col("is_dir") | (end > F.col("size")) | ((end % BLOCK != 0) & (end != F.col("size")))
+    rows = requests.join(inodes.select("ino", "size", "data_version", "is_dir"), "ino")
+    return rows.withColumn("status", F.when(wrong, "invalid").when(F.col("length") == 0, "none").when(outside, "invalid").when(F.col("version") != F.col("data_version"), "stale").otherwise("ok"))
+
+
+def stage_checked(extents: DataFrame, requests: DataFrame, inodes: DataFrame) -> DataFrame:
+    """Extents after the stages that are right; their blocks lie at ``to_map`` and behind it."""
+    ok = stage_status(requests, inodes).where("status = 'ok'")
+    return stage(extents, ok.select("ino", F.call_function("div", F.col("offset"), F.lit(BLOCK)).alias("first"), _up(F.col("offset") + F.col("length")).alias("end"), "to_map"))
+
+
+def move_status(extents: DataFrame, requests: DataFrame, inodes: DataFrame) -> DataFrame:
+    """Moves (ino, to_ino, from_off, length, to_off, is_stage, version) with their blocks, clipped to the size, and a status.
+
+    A plain move needs free blocks in the target, a staging one blocks that lie in one offline extent; a move
+    is made whole or not at all.
+    """
+    source = inodes.select("ino", F.col("size").alias("from_size"), F.col("is_dir").alias("from_dir"))
+    target = inodes.select(F.col("ino").alias("to_ino"), F.col("data_version").alias("to_version"), F.col("is_dir").alias("to_dir"), (F.col("flags").bitwiseAND(2) != 0).alias("to_held"))
+    off = on_off(extents).where("offline > 0")
+    rows = requests.join(source, "ino").join(target, "to_ino")
+    rows = rows.join(off.select("ino", F.col("offline").alias("from_off_blocks")), "ino", "left").join(off.select(F.col("ino").alias("to_ino"), F.col("offline").alias("to_off_blocks")), "to_ino", "left")
+    inside = F.least("length", F.col("from_size") - F.col("from_off"))
+    unaligned = (F.col("from_off") % BLOCK != 0) | (F.col("to_off") % BLOCK != 0) | ((F.col("length") % BLOCK != 0) & (F.col("from_off") + F.col("length") != F.col("from_size")))
+    early = (
+        F.when(~F.col("is_stage") & F.col("to_held"), "retained")
+        .when(unaligned, "invalid")
+        .when(F.col("is_stage") & (F.col("version") != F.col("to_version")), "stale")
+        .when(F.col("from_off") >= F.col("from_size"), "none")
+        .when(F.col("from_dir") | F.col("to_dir"), "directory")
+        .when(F.col("from_off_blocks").isNotNull() | (F.col("to_off_blocks").isNotNull() & ~F.col("is_stage")), "no data")
+    )
+    first, to_first = F.call_function("div", F.col("from_off"), F.lit(BLOCK)), F.call_function("div", F.col("to_off"), F.lit(BLOCK))
+    rows = rows.select("ino", "to_ino", "is_stage", first.alias("first"), (first + _up(inside)).alias("end"), to_first.alias("to_first"), early.alias("early"))
+    p = move(extents, rows.where("early is null")).select(F.col("ino").alias("to_ino"), F.col("start").alias("lo"), (F.col("start") + F.col("len")).alias("hi"))
+    there = extents.select(F.col("ino").alias("to_ino"), "start", (F.col("start") + F.col("len")).alias("stop"), "flags")
+    met = p.join(there, "to_ino", "left")
+    over = F.coalesce((F.col("start") < F.col("hi")) & (F.col("stop") > F.col("lo")), F.lit(False))
+    within = F.coalesce((F.col("start") <= F.col("lo")) & (F.col("stop") >= F.col("hi")) & (F.col("flags").bitwiseAND(OFFLINE) != 0), F.lit(False))
+    found = met.groupBy("to_ino", "lo").agg(F.bool_or(over).alias("over"), F.bool_or(within).alias("within")).groupBy("to_ino").agg(F.bool_or("over").alias("over"), F.bool_and("within").alias("within"))
+    rows = rows.join(found, "to_ino", "left")
+    late = F.when(F.col("is_stage") & ~F.coalesce("within", F.lit(True)), "not offline").when(~F.col("is_stage") & F.coalesce("over", F.lit(False)), "overlaps").otherwise("moved")
+    return rows.select("ino", "to_ino", "is_stage", "first", "end", "to_first", F.coalesce("early", late).alias("status"))
+
+
+def move_checked(extents: DataFrame, requests: DataFrame, inodes: DataFrame) -> DataFrame:
+    """Extents after the moves that are right; a staging move keeps its target's offline blocks where the source has none."""
+    ok = move_status(extents, requests, inodes).where("status = 'moved'")
+    new = move(extents, ok)
+    taken = ok.select("ino", "first", "end").unionByName(new.select("ino", F.col("start").alias("first"), (F.col("start") + F.col("len")).alias("end")))
+    return coalesce(subtract(extents, taken).unionByName(new))

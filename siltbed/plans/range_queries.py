@@ -34,6 +34,72 @@ def move_blocks(t: Tables) -> DataFrame:
     return extents.move_blocks(t.mapped(), moves)
 
 
+#: One row for each block of mapped, as k(ino, blk, map, flags).
+_EACH = "k AS (SELECT ino, blk, CASE WHEN map = 0 THEN 0 ELSE map + blk - start END AS map, flags FROM (SELECT *, unnest(generate_series(start, start + len - 1)) AS blk FROM {0}))"
+
+
+@query(
+    "d10_release_checked",
+    f"WITH {_EACH.format('mapped')}, r AS (SELECT ino, \"offset\" // 4096 AS a, (\"offset\" + length) // 4096 AS b, (size + 4095) // 4096 AS top FROM releases JOIN inodes USING (ino) WHERE version = data_version AND NOT is_dir AND length % 4096 = 0 AND \"offset\" % 4096 = 0),"
+    f" h AS (SELECT k.ino, blk, CASE WHEN blk >= a AND blk < b THEN 0 ELSE map END AS map, CASE WHEN blk >= a AND blk < b THEN 1 ELSE flags END AS flags, top FROM k LEFT JOIN r ON r.ino = k.ino),"
+    f" z AS (SELECT ino, blk, map, flags FROM (SELECT *, bool_or(map <> 0 AND flags & 2 = 0) OVER (PARTITION BY ino) AS live FROM h) WHERE live OR top IS NULL OR top = 0 OR blk < top), {_JOIN}",
+    "mapped",
+    "inodes",
+    "releases",
+)
+def release_checked(t: Tables) -> DataFrame:
+    """In bytes, under the data version; objects left without online blocks end at their size."""
+    return extents.release_checked(t.mapped(), t.releases(), t.inodes())
+
+
+_STAGED = "s AS (SELECT *, \"offset\" + length AS stop, CASE WHEN length < 0 OR \"offset\" % 4096 <> 0 THEN 'invalid' WHEN length = 0 THEN 'none' WHEN is_dir OR \"offset\" + length > size OR ((\"offset\" + length) % 4096 <> 0 AND \"offset\" + length <> size) THEN 'invalid' WHEN version <> data_version THEN 'stale' ELSE 'ok' END AS status FROM stages JOIN inodes USING (ino))"
+
+
+@query("d11_stage_status", f"WITH {_STAGED.replace('version <> data_version', 's.version <> data_version').replace('FROM stages', 'FROM stages s')} SELECT ino, status FROM s", "inodes", "stages")
+def stage_status(t: Tables) -> DataFrame:
+    return extents.stage_status(t.stages(), t.inodes()).select("ino", "status")
+
+
+@query(
+    "d11_stage_checked",
+    f"WITH {_EACH.format('mapped')}, {_STAGED}, r AS (SELECT ino, \"offset\" // 4096 AS a, (stop + 4095) // 4096 AS b FROM s WHERE status = 'ok'), z AS (SELECT k.ino, blk, CASE WHEN flags = 1 AND blk >= a AND blk < b THEN 900000 + blk - a ELSE map END AS map, CASE WHEN flags = 1 AND blk >= a AND blk < b THEN 0 ELSE flags END AS flags FROM k LEFT JOIN r ON r.ino = k.ino), {_JOIN}",
+    "mapped",
+    "inodes",
+    "stages",
+)
+def stage_checked(t: Tables) -> DataFrame:
+    """In bytes, inside the size, under the data version; others change nothing."""
+    return extents.stage_checked(t.mapped(), t.stages(), t.inodes())
+
+
+_MOVED = (
+    "o AS (SELECT ino, sum(len) FILTER (flags & 1 <> 0 AND NOT (map <> 0 AND flags & 2 = 0)) > 0 AS off FROM move_extents GROUP BY ino),"
+    " v AS (SELECT m.*, f.size, from_off // 4096 AS a, from_off // 4096 + (least(length, f.size - from_off) + 4095) // 4096 AS b, CASE WHEN NOT is_stage AND g.flags & 2 <> 0 THEN 'retained' WHEN from_off % 4096 <> 0 OR (length % 4096 <> 0 AND from_off + length <> f.size) THEN 'invalid' WHEN is_stage AND m.version <> g.data_version THEN 'stale'"
+    " WHEN from_off >= f.size THEN 'none' WHEN f.is_dir OR g.is_dir THEN 'directory' WHEN x.off OR (y.off AND NOT is_stage) THEN 'no data' END AS early FROM moves m JOIN move_targets f ON f.ino = m.ino JOIN move_targets g ON g.ino = m.to_ino LEFT JOIN o x ON x.ino = m.ino LEFT JOIN o y ON y.ino = m.to_ino),"
+    " p AS (SELECT v.ino, v.to_ino, is_stage, greatest(start, a) - a + 2 AS lo, least(start + len, b) - a + 2 AS hi FROM v JOIN move_extents e ON e.ino = v.ino AND start < b AND start + len > a WHERE early IS NULL),"
+    " c AS (SELECT ino, bool_or(CASE WHEN is_stage THEN NOT EXISTS (SELECT 1 FROM move_extents e WHERE e.ino = p.to_ino AND start <= lo AND start + len >= hi AND flags & 1 <> 0) ELSE EXISTS (SELECT 1 FROM move_extents e WHERE e.ino = p.to_ino AND start < hi AND start + len > lo) END) AS bad FROM p GROUP BY ino),"
+    " t AS (SELECT v.*, coalesce(early, CASE WHEN bad THEN CASE WHEN is_stage THEN 'not offline' ELSE 'overlaps' END ELSE 'moved' END) AS status FROM v LEFT JOIN c ON c.ino = v.ino)"
+)
+
+
+@query("d12_move_status", f"WITH {_MOVED} SELECT ino, to_ino, is_stage, status FROM t", "inodes", "move_targets", "move_extents", "moves")
+def move_status(t: Tables) -> DataFrame:
+    return extents.move_status(t.move_extents(), t.moves(), t.move_targets()).select("ino", "to_ino", "is_stage", "status")
+
+
+@query(
+    "d12_move_checked",
+    f"WITH {_MOVED}, {_EACH.format('move_extents')}, g AS (SELECT k.*, t.to_ino, blk - a + 2 AS to_blk FROM k LEFT JOIN t ON t.ino = k.ino AND status = 'moved' AND blk >= a AND blk < b), n AS (SELECT to_ino AS ino, to_blk AS blk, map, flags FROM g WHERE to_ino IS NOT NULL), z AS (SELECT ino, blk, map, flags FROM g WHERE to_ino IS NULL AND (ino, blk) NOT IN (SELECT (ino, blk) FROM n) UNION ALL SELECT * FROM n), {_JOIN}",
+    "inodes",
+    "move_targets",
+    "move_extents",
+    "moves",
+)
+def move_checked(t: Tables) -> DataFrame:
+    """Clipped to the size; plain into free blocks, staging into offline ones."""
+    return extents.move_checked(t.move_extents(), t.moves(), t.move_targets())
+
+
 @query("d13_punch_status", f"WITH {_RANGE} SELECT r.ino, CASE WHEN EXISTS (SELECT 1 FROM mapped m WHERE {_OVER} AND map <> 0) THEN 'refused' ELSE 'punched' END AS status FROM r", "mapped")
 def punch_status(t: Tables) -> DataFrame:
     r = _ranges(t)

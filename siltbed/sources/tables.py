@@ -111,6 +111,41 @@ class Tables:
         e = self.extents()
         return e.select("ino", "start", "len", F.when(F.col("flags") == 1, 0).otherwise(1000 + F.col("start")).cast("long").alias("map"), F.when(F.col("flags") == 1, 1).when(F.col("len") % 5 == 0, 2).otherwise(0).cast("long").alias("flags"))
 
+    def releases(self) -> DataFrame:
+        """Some of all blocks, some of the first half, some with a stale version or odd bytes."""
+        ino = F.col("ino")
+        length = F.when(ino % 4 == 0, 400 * 4096).when(ino % 4 == 1, 20 * 4096).when(ino % 4 == 2, 40 * 4096).otherwise(20 * 4096 + ino % 2)
+        return self.inodes().select("ino", (ino % 2 * 8192).alias("offset"), length.cast("long").alias("length"), F.when(ino % 5 == 0, 9).otherwise(F.col("data_version")).cast("long").alias("version"))
+
+    def stages(self) -> DataFrame:
+        """Ranges inside and outside the size, to its odd end, and some with a stale version."""
+        ino, size = F.col("ino"), F.col("size")
+        offset = ino % 3 * 4096 + F.when(ino % 29 == 0, 1).otherwise(0)
+        length = F.when(ino % 4 == 0, size - offset).when(ino % 4 == 1, 10 * 4096).when(ino % 4 == 2, 0).otherwise(10 * 4096 + 1)
+        return self.inodes().select("ino", offset.cast("long").alias("offset"), length.cast("long").alias("length"), F.when(ino % 11 == 0, 9).otherwise(F.col("data_version")).cast("long").alias("version"), F.lit(900_000).cast("long").alias("to_map"))
+
+    def move_targets(self) -> DataFrame:
+        """The objects and for each a target: every third is full of offline blocks, some are retained or directories."""
+        ino, size = F.col("ino"), F.col("size")
+        old = self.inodes().select("ino", "size", "data_version", "is_dir", "flags")
+        new = old.select((ino + 5_000_000).alias("ino"), size, F.lit(1).cast("long").alias("data_version"), (ino % 17 == 0).alias("is_dir"), F.when(ino % 13 == 0, 2).otherwise(0).cast("long").alias("flags"))
+        return old.unionByName(new)
+
+    def move_extents(self) -> DataFrame:
+        """Stored blocks without offline ones for most objects, and the targets' offline blocks."""
+        ino = F.col("ino")
+        own = self.mapped().where("ino % 9 = 0 or flags <> 1")
+        full = self.inodes().where(ino % 3 == 0).select((ino + 5_000_000).alias("ino"), F.lit(0).cast("long").alias("start"), F.when(ino % 2 == 0, 500).otherwise(30).cast("long").alias("len"), F.lit(0).cast("long").alias("map"), F.lit(1).cast("long").alias("flags"))
+        some = self.inodes().where(ino % 10 == 1).select((ino + 5_000_000).alias("ino"), F.lit(600).cast("long").alias("start"), F.lit(5).cast("long").alias("len"), F.lit(77).cast("long").alias("map"), F.lit(0).cast("long").alias("flags"))
+        near = self.inodes().where(ino % 10 == 2).select((ino + 5_000_000).alias("ino"), F.lit(10).cast("long").alias("start"), F.lit(5).cast("long").alias("len"), F.lit(77).cast("long").alias("map"), F.lit(0).cast("long").alias("flags"))
+        return own.unionByName(full).unionByName(some).unionByName(near.where("(ino - 5000000) % 3 <> 0"))
+
+    def moves(self) -> DataFrame:
+        ino, size = F.col("ino"), F.col("size")
+        from_off = ino % 3 * 4096 + F.when(ino % 31 == 0, 1).otherwise(0) + F.when(ino % 37 == 0, 4096 * 500).otherwise(0)
+        length = F.when(ino % 5 == 0, size - from_off).otherwise(20 * 4096)
+        return self.inodes().select("ino", (ino + 5_000_000).alias("to_ino"), from_off.cast("long").alias("from_off"), length.cast("long").alias("length"), F.lit(8192).cast("long").alias("to_off"), (ino % 3 == 0).alias("is_stage"), F.when(ino % 19 == 0, 2).otherwise(1).cast("long").alias("version"))
+
     def waiters(self) -> DataFrame:
         op = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).otherwise(4)
         return self.raw("events").select(F.col("user_id").alias("ino"), (F.col("event_id") % 16).alias("iblock"), op.cast("long").alias("op"))
@@ -204,6 +239,11 @@ SQL = {
     + "".join(f" UNION ALL SELECT ino // {2**k}, ino + {10 * k}, ino, name || '.{k}', type FROM dirents WHERE ino % {k + 1} = 0 AND ino NOT IN (SELECT dir_ino FROM dirents)" for k in (2, 3)),
     "extents": "SELECT ino, (sum(val) OVER (PARTITION BY ino ORDER BY id) - val)::BIGINT AS start, val AS len, 0::BIGINT AS map, (CASE WHEN flag = 'R' THEN 1 ELSE 0 END)::BIGINT AS flags FROM tags",
     "mapped": "SELECT ino, start, len, (CASE WHEN flags = 1 THEN 0 ELSE 1000 + start END)::BIGINT AS map, (CASE WHEN flags = 1 THEN 1 WHEN len % 5 = 0 THEN 2 ELSE 0 END)::BIGINT AS flags FROM extents",
+    "releases": "SELECT ino, ino % 2 * 8192 AS \"offset\", CASE ino % 4 WHEN 0 THEN 400 * 4096 WHEN 1 THEN 20 * 4096 WHEN 2 THEN 40 * 4096 ELSE 20 * 4096 + ino % 2 END AS length, CASE WHEN ino % 5 = 0 THEN 9 ELSE data_version END AS version FROM inodes",
+    "stages": "SELECT ino, o AS \"offset\", CASE ino % 4 WHEN 0 THEN size - o WHEN 1 THEN 40960 WHEN 2 THEN 0 ELSE 40961 END AS length, CASE WHEN ino % 11 = 0 THEN 9 ELSE data_version END AS version FROM (SELECT *, ino % 3 * 4096 + CASE WHEN ino % 29 = 0 THEN 1 ELSE 0 END AS o FROM inodes)",
+    "move_targets": "SELECT ino, size, data_version, is_dir, flags FROM inodes UNION ALL SELECT ino + 5000000, size, 1, ino % 17 = 0, CASE WHEN ino % 13 = 0 THEN 2 ELSE 0 END FROM inodes",
+    "move_extents": "SELECT ino, start, len, map, flags FROM mapped WHERE ino % 9 = 0 OR flags <> 1 UNION ALL SELECT ino + 5000000, 0, CASE WHEN ino % 2 = 0 THEN 500 ELSE 30 END, 0, 1 FROM inodes WHERE ino % 3 = 0 UNION ALL SELECT ino + 5000000, 600, 5, 77, 0 FROM inodes WHERE ino % 10 = 1 UNION ALL SELECT ino + 5000000, 10, 5, 77, 0 FROM inodes WHERE ino % 10 = 2 AND ino % 3 <> 0",
+    "moves": "SELECT ino, ino + 5000000 AS to_ino, o AS from_off, CASE WHEN ino % 5 = 0 THEN size - o ELSE 81920 END AS length, 8192::BIGINT AS to_off, ino % 3 = 0 AS is_stage, CASE WHEN ino % 19 = 0 THEN 2 ELSE 1 END AS version FROM (SELECT *, ino % 3 * 4096 + CASE WHEN ino % 31 = 0 THEN 1 ELSE 0 END + CASE WHEN ino % 37 = 0 THEN 4096 * 500 ELSE 0 END AS o FROM inodes)",
     "waiters": "SELECT user_id AS ino, event_id % 16 AS iblock, (CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 4 END)::BIGINT AS op FROM events",
     "orphans": "SELECT o_orderkey + 1 AS ino FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "open_inos": "SELECT DISTINCT event_id + 1 AS ino FROM events WHERE event_id % 5 = 0",
@@ -215,7 +255,7 @@ SQL = {
     "quota_inputs": "SELECT ino AS req, proj, uid, gid, CASE WHEN ino % 2 = 0 THEN 'I' ELSE 'D' END AS op FROM inodes",
     "mounts": "SELECT user_id % 5 AS rid, event_id + 1 AS ino FROM events",
 }
-_NEEDS = {"seq_index": ["inodes"], "xattrs": ["tags"], "totl_delta": ["tags"], "links": ["dirents"], "srch_log": ["tags"], "extents": ["tags"], "mapped": ["tags", "extents"], "quota_inputs": ["inodes"], "fresh_inodes": ["inodes"], "attr_changes": ["inodes"]}
+_NEEDS = {"seq_index": ["inodes"], "xattrs": ["tags"], "totl_delta": ["tags"], "links": ["dirents"], "srch_log": ["tags"], "extents": ["tags"], "mapped": ["tags", "extents"], "quota_inputs": ["inodes"], "fresh_inodes": ["inodes"], "releases": ["inodes"], "stages": ["inodes"], "move_targets": ["inodes"], "moves": ["inodes"], "move_extents": ["inodes", "tags", "extents", "mapped"], "attr_changes": ["inodes"]}
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:
