@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,25 @@ def sorted_runs(rows: DataFrame, key: list[str]) -> DataFrame:
     return written(rows.repartitionByRange(*key).sortWithinPartitions(*key))
 
 
-def presence(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
-    """Merge of two sorted runs: every key and the runs that hold it."""
-    a, b = (x.select(*key).distinct().withColumn(n, F.lit(True)) for x, n in ((one, "in_one"), (two, "in_two")))
-    return a.join(b.hint("merge"), key, "full_outer").select(*key, F.coalesce("in_one", F.lit(False)).alias("in_one"), F.coalesce("in_two", F.lit(False)).alias("in_two"))
+def merged(runs: list[DataFrame], key: list[str]) -> DataFrame:
+    """Sorted runs in one order, range by range: no task merges more than its range of keys."""
+    return reduce(DataFrame.unionByName, runs).orderBy(*key)
+
+
+def presence(runs: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """Merge of any number of runs: every key and, by the run's name, whether that run holds it.
+
+    One aggregation with partial sums; no run is joined to another.
+    """
+    marked = [rows.select(*key, *[F.lit(n == name).alias(n) for n in runs]) for name, rows in runs.items()]
+    return reduce(DataFrame.unionByName, marked).groupBy(*key).agg(*[F.bool_or(n).alias(n) for n in runs])
+
+
+def merge_window(items: DataFrame, key: list[str], deltas: DataFrame, names: list[str]) -> DataFrame:
+    """Items and deltas of all logs in one window, one row for each key: kind, a, b, c, seq, is_delete, val, total, count."""
+    version = items.groupBy(*key).agg(F.max_by(F.struct("seq", "is_delete", "val"), "seq").alias("v")).select(F.lit("item").alias("kind"), F.col(key[0]).alias(names[0]), "v.*")
+    sums = deltas.groupBy(*names).agg(F.max("seq").alias("seq"), F.sum("total").alias("total"), F.sum("count").alias("count")).where("total <> 0 or count <> 0")
+    return version.unionByName(sums.select(F.lit("delta").alias("kind"), "*", F.lit(False).alias("is_delete")), allowMissingColumns=True)
 
 
 def options(changes: DataFrame) -> DataFrame:

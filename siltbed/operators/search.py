@@ -18,6 +18,20 @@ def candidates(log: DataFrame, tag: int, first: int, last: int, limit: int | Non
     return rows.limit(limit) if limit else rows
 
 
+def page(log: DataFrame, tag: int, first: int, last: int, nr: int, limit: int = 1_000_000) -> DataFrame:
+    """One row on a page of at most ``nr`` objects, of the ``limit`` least entries tracked: tracked, returned, is_end.
+
+    The end is told only if the search got through all entries and as many objects are returned as entries were
+    tracked, so an object met twice leaves the end untold.
+    """
+    rows = present(log.where((F.col("hash") == tag) & F.col("ino").between(first, last))).select("ino", "id")
+    kept = rows.orderBy("ino", "id").limit(limit).agg(F.count("*").alias("tracked"), F.countDistinct("ino").alias("objects"))
+    one = F.lit(1).alias("one")  # both sides are one row
+    both = kept.select(one, "*").join(rows.agg(F.count("*").alias("all")).select(one, "*"), "one")
+    returned = F.least("objects", F.lit(nr)).cast("long")
+    return both.select("tracked", returned.alias("returned"), ((F.col("all") <= limit) & (F.col("tracked") == returned)).alias("is_end"))
+
+
 def exact(found: DataFrame, xattrs: DataFrame, name_ends: str) -> DataFrame:
     """Candidates whose attributes bear the name."""
     return found.join(xattrs.where(F.col("name").endswith(name_ends)).select("ino").distinct(), "ino", "left_semi")

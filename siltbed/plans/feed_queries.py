@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,9 +175,9 @@ def totals_from(t: Tables) -> DataFrame:
     return totals.combine(_deltas(t).where("a >= 40").where(index.at_least(totals.NAME, (40, 5, 0)))).orderBy(*totals.NAME)
 
 
-@query("a02_setxattr_increments", "SELECT a, b, c, sum(n - o)::BIGINT AS total, 0::BIGINT AS count FROM (SELECT a, b, c, val AS o, 3 * val AS n FROM tags WHERE flag <> 'R') GROUP BY a, b, c HAVING sum(n - o) <> 0", "tags")
+@query("a02_setxattr_increments", "SELECT a, b, c, sum(n - o)::BIGINT AS total, 0::BIGINT AS count FROM (SELECT a, b, c, val AS o, 3 * val AS n FROM tags) GROUP BY a, b, c HAVING sum(n - o) <> 0", "tags")
 def setxattr(t: Tables) -> DataFrame:
-    changed = t.tags().where("flag <> 'R'").select("a", "b", "c", F.col("val").alias("old"), (3 * F.col("val")).alias("new"))
+    changed = t.tags().select("a", "b", "c", F.col("val").alias("old"), (3 * F.col("val")).alias("new"))
     return totals.combine(totals.increments(changed))
 
 
@@ -186,9 +188,9 @@ def inode_delete(t: Tables) -> DataFrame:
     return totals.combine(_deltas(t).unionByName(totals.increments(gone)))
 
 
-@query("d16_inject_delta", "SELECT a, b, c, sum(val)::BIGINT + 128 AS total, count(*) + 2 AS count FROM tags WHERE b = 1 GROUP BY a, b, c", "tags")
+@query("d16_inject_delta", "SELECT a, b, c, sum(val)::BIGINT + 128 AS total, count(*) + 2 AS count FROM tags GROUP BY a, b, c", "tags")
 def inject(t: Tables) -> DataFrame:
-    own = _deltas(t).where("b = 1")
+    own = _deltas(t)
     return totals.combine(own.unionByName(own.select("a", "b", "c").distinct().select("a", "b", "c", F.lit(128).cast("long").alias("total"), F.lit(2).cast("long").alias("count"))))
 
 
@@ -210,6 +212,20 @@ def merge_window(t: Tables) -> DataFrame:
     return t.totl_delta().where("bucket <> 'fs'").groupBy("bucket", *totals.NAME).agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
 
 
+@query(
+    "a08_merge_window_items",
+    "SELECT 'item' AS kind, key AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, max(seq) AS seq, arg_max(is_delete, seq) AS is_delete, arg_max(val, seq) AS val, NULL::BIGINT AS total, NULL::BIGINT AS count FROM item_log WHERE source = 'log' AND key BETWEEN 100 AND 100000 GROUP BY key"
+    " UNION ALL SELECT 'delta', a, b, c, max(seq), false, NULL, sum(total)::BIGINT, sum(count)::BIGINT FROM totl_delta WHERE bucket <> 'fs' AND a BETWEEN 100 AND 100000 GROUP BY a, b, c HAVING sum(total) <> 0 OR sum(count) <> 0",
+    "item_log",
+    "totl_delta",
+)
+def merge_window_items(t: Tables) -> DataFrame:
+    """One window of keys over all logs: deltas are combined under their greatest sequence, of other items the newest stays, tombstones too."""
+    items = t.item_log().where("source = 'log' and key between 100 and 100000").drop("source")
+    deltas = t.totl_delta().where("bucket <> 'fs' and a between 100 and 100000")
+    return forest.merge_window(items, ["key"], deltas, totals.NAME)
+
+
 @query("a10_inode_count", "SELECT sum(d)::BIGINT AS inodes FROM (SELECT count(*) AS d FROM inodes UNION ALL SELECT -count(*) FROM orphans)", "inodes", "orphans")
 def inode_count(t: Tables) -> DataFrame:
     base = t.inodes().agg(F.count("*").alias("d"))
@@ -260,10 +276,12 @@ def difference(t: Tables) -> DataFrame:
     return t.tags().where("b in (1, 2)").select("ino", "b").distinct().groupBy("ino").agg(F.count("*").alias("n")).where("n % 2 = 1").select("ino")
 
 
-@query("o01_merge_runs", "SELECT hash, ino, id, run FROM srch_log WHERE hash <= 1", "srch_log")
+@query("o01_merge_runs", "SELECT hash, ino, id, run FROM srch_log", "srch_log")
 def merge_runs(t: Tables) -> DataFrame:
-    log = t.srch_log().where("hash <= 1")
-    return log.where("run = 0").unionByName(log.where("run = 1")).orderBy("hash", "ino", "id", "run")
+    """Sorted runs, one for each range of objects, merged into one order."""
+    log = t.srch_log()
+    runs = [forest.sorted_runs(log.where(F.col("ino") % 3 == k), [*search.KEY, "run"]) for k in range(3)]
+    return forest.merged(runs, [*search.KEY, "run"])
 
 
 @query("o01_merge_whole_runs", "SELECT hash, ino, id, run FROM srch_log", "srch_log")
@@ -273,6 +291,23 @@ def merge_whole_runs(t: Tables) -> DataFrame:
     return log.where("run = 0").unionByName(log.where("run = 1")).orderBy("hash", "ino", "id", "run")
 
 
+_PAGES = [(4, 0, 10**9, 10**6), (4, 0, 50, 10**6), (4, 2000, 10**9, 10**6), (7, 0, 10**9, 40), (7, 0, 10, 40), (99, 0, 10, 10)]
+
+
+@query(
+    "s08_search_pages",
+    " UNION ALL ".join(
+        f"SELECT {i} AS page, count(*) AS tracked, least(count(DISTINCT ino), {nr}) AS returned, (SELECT count(*) FROM (SELECT ino FROM srch_log WHERE hash = {tag} AND ino >= {first} GROUP BY hash, ino, id HAVING count(*) % 2 = 1)) <= {limit} AND count(*) = least(count(DISTINCT ino), {nr}) AS is_end FROM (SELECT ino FROM srch_log WHERE hash = {tag} AND ino >= {first} GROUP BY hash, ino, id HAVING count(*) % 2 = 1 ORDER BY ino, id LIMIT {limit})"
+        for i, (tag, first, nr, limit) in enumerate(_PAGES)
+    ),
+    "srch_log",
+)
+def search_pages(t: Tables) -> DataFrame:
+    """Pages of searches, of which each says whether it is the last: all was searched, and every entry tracked was returned."""
+    pages = [search.page(t.srch_log(), tag, first, LAST, nr, limit).select(F.lit(i).alias("page"), "tracked", "returned", "is_end") for i, (tag, first, nr, limit) in enumerate(_PAGES)]
+    return reduce(DataFrame.unionByName, pages)
+
+
 _FILES = "f AS (SELECT p_partkey AS file, (1 + p_partkey * p_size % 5000) AS blocks FROM part), y AS (SELECT p_partkey AS file FROM part WHERE p_size % 10 = 0)"
 
 

@@ -140,10 +140,10 @@ def volume_options(t: Tables) -> DataFrame:
     return forest.options(changes)
 
 
-@query("j10_merge_join_runs", "SELECT coalesce(a.hash, b.hash) AS hash, coalesce(a.ino, b.ino) AS ino, coalesce(a.id, b.id) AS id, a.ino IS NOT NULL AS in_one, b.ino IS NOT NULL AS in_two FROM (SELECT hash, ino, id FROM srch_log WHERE run = 0) a FULL JOIN (SELECT hash, ino, id FROM srch_log WHERE run = 1) b ON a.hash = b.hash AND a.ino = b.ino AND a.id = b.id", "srch_log")
+@query("j10_merge_join_runs", "SELECT hash, ino, id, bool_or(run = 0) AS in_one, bool_or(run = 1) AS in_two FROM srch_log GROUP BY hash, ino, id", "srch_log")
 def merge_join_runs(t: Tables) -> DataFrame:
     log = t.srch_log()
-    return forest.presence(log.where("run = 0"), log.where("run = 1"), search.KEY)
+    return forest.presence({"in_one": log.where("run = 0"), "in_two": log.where("run = 1")}, search.KEY)
 
 
 @query("o02_external_sort", "SELECT hash, ino, id, run FROM srch_log", "srch_log")

@@ -285,12 +285,3 @@ def setattr_validation(t: Tables) -> DataFrame:
 def all_or_nothing(t: Tables) -> DataFrame:
     """A change is made whole or not at all; retention stops all but the change that ends it."""
     return attributes.change(t.fresh_inodes(), t.attr_changes())
-
-
-@query("d20_inode_numbers", "SELECT o_custkey, o_orderkey, (o_custkey * 1024 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS ino FROM orders")
-def inode_numbers(t: Tables) -> DataFrame:
-    """Numbers are dense inside each group of 1024."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return t.raw("orders").select("o_custkey", "o_orderkey", (F.col("o_custkey") * 1024 + n).alias("ino"))

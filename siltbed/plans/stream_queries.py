@@ -7,18 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
 from ..sources.tables import Tables
 from ..streaming import feed
 from .catalog import query
 
-_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
 
 @query("t06_stream_newest", "WITH n AS (SELECT * FROM item_log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC, source) = 1) SELECT key, seq, is_delete, val, source FROM n WHERE NOT is_delete", "item_log")
 def stream_newest(t: Tables) -> DataFrame:
-    events = feed.open_changes(t.spark, f"{t.sf_dir}/[e]vents.parquet", _EVENTS)
-    log = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("is_delete"), F.col("value").alias("val"), F.when(F.col("event_id") % 4 == 0, "base").otherwise("log").alias("source"))
-    return feed.newest_by_stream(log, ["key"])
+    """The log as a stream of several batches that cut across keys and sequences, so later ones bring older versions too."""
+    log = t.item_log()
+    files = folder(t.spark)
+    log.repartition(3, F.col("seq") % 7).write.parquet(files)
+    return feed.newest_by_stream(t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(files), ["key"])
 
 
 @query("t03_stable_polls", "SELECT CASE WHEN major <= 2000 THEN 0 WHEN major <= 9000 THEN 1 ELSE 2 END AS poll, count(*) AS n, min(major) AS first, max(major) AS last FROM seq_index WHERE index = 'meta_seq' GROUP BY 1", "seq_index")
