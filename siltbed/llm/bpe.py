@@ -5,8 +5,9 @@ class (letter, number, space, other white space, other, the letters that can
 follow an apostrophe, ...); a class maps states to states, such maps compose
 associatively, and a blocked scan over all texts of a slice gives the state
 at every place at once.  State and class tell where a piece begins.  Pieces
-are merged by rank and kept in a bounded cache; decoding looks the ids up
-again and joins their bytes.
+are merged by rank and kept in a bounded cache.  Each token keeps the byte
+offset in its text at which it ends; decoding puts the tokens' bytes at these
+places, for whole texts or for a range of bytes, in one gather for all rows.
 
 The classes of contractions look one code point ahead ("'re" needs both
 letters), which keeps the machine free of back-tracking; white space looks
@@ -23,6 +24,7 @@ import base64
 import hashlib
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +206,9 @@ class Codec:
         for token, i in self.ranks.items():
             self.bytes[i] = token
         self.decimal = [str(i) for i in range(len(self.bytes))]
+        self.sizes = np.array([len(b) for b in self.bytes] or [0], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.cache: dict[str, list[int]] = {}
         self.cache_rows = cache_rows
 
@@ -238,8 +243,22 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.encode_pieces(self.pieces([text])[0])
 
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """The byte offset behind each token."""
+        return np.cumsum(self.sizes[ids])
+
+    def decode_at(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes of tokens, put where their offsets say."""
+        if not len(ids):
+            return np.zeros(0, np.uint8)
+        sizes = np.diff(ends, prepend=0)
+        if (sizes != self.sizes[ids]).any():
+            raise ValueError("offsets of other tokens")
+        return self.flat[np.repeat(self.first[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_at(ids, self.ends(ids)).tobytes()
 
 
 _codecs: dict[str, Codec] = {}
@@ -258,29 +277,48 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield rows, [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _tokens(own: Codec, texts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Ids by row; all ids, the byte offset behind each in the rows joined, and where rows begin among them."""
+    ids = [own.encode_pieces(p) for p in own.pieces(texts)]
+    flat = np.fromiter(chain.from_iterable(ids), np.int64)
+    return ids, flat, own.ends(flat), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+
+
 def _encode(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for rows, texts in _texts(batches):
-        ids = [own.encode_pieces(p) for p in own.pieces(texts)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        _, flat, ends, at = _tokens(own, texts)
+        before = np.append(0, ends)[at]
+        local = ends - np.repeat(before[:-1], np.diff(at))
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (flat, local)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), *lists], names=["doc_id", "ids", "ends"])
 
 
 def _digest(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for rows, texts in _texts(batches):
-        n, a, b = [], [], []
-        for pieces in own.pieces(texts):
-            ids = own.encode_pieces(pieces)
-            n.append(len(ids))
-            a.append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
-            b.append(hashlib.sha256(own.decode(ids)).hexdigest())
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids, flat, ends, at = _tokens(own, texts)
+        back = own.decode_at(flat, ends).tobytes()
+        cuts = np.append(0, ends)[at].tolist()
+        a = [hashlib.sha256(" ".join(map(own.decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
+        b = [hashlib.sha256(back[i:j]).hexdigest() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _decode(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterable[pa.RecordBatch], path: str, first: int, last: int | None) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for batch in batches:
-        texts = [own.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+        texts = []
+        for ids, ends in zip(batch.column(1), batch.column(2), strict=True):
+            if not ids.is_valid or not ends.is_valid:
+                texts.append("")
+                continue
+            i, e = (x.values.to_numpy().astype(np.int64) for x in (ids, ends))
+            stop = len(i) if last is None else int(np.searchsorted(e, last, "left")) + 1
+            start = int(np.searchsorted(e, first, "right"))
+            before = int(e[start - 1]) if start else 0
+            part = own.decode_at(i[start:stop], e[start:stop] - before).tobytes()
+            texts.append(part[max(first - before, 0) : None if last is None else last - before].decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
@@ -289,13 +327,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>."""
-    return _rows(docs).mapInArrow(lambda it: _encode(it, path), "doc_id long, ids array<int>")
+    """doc_id, ids array<int>, ends array<int>: the byte offset behind each token."""
+    return _rows(docs).mapInArrow(lambda it: _encode(it, path), "doc_id long, ids array<int>, ends array<int>")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text, from doc_id and ids."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decode(it, path), "doc_id long, text string")
+def decode(encoded: DataFrame, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """doc_id, text, from doc_id, ids and ends: the whole text, or its bytes ``first`` to ``last`` from the tokens that hold them."""
+    return encoded.select("doc_id", "ids", "ends").mapInArrow(lambda it: _decode(it, path, first, last), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -12,9 +12,16 @@ bit stream at once and ends at the first clear or end code.  Strings follow
 by the rule that the entry made by code k is the output of code k and one
 byte more, which is a copy from what is already written.
 
+A stream is read as far as it is right.  What breaks it (an unknown block, a
+cut, codes before their entry, samples or colours that are missing, a screen of
+more than ``most_pixels``) ends its frames and is told in a row of its own; no
+stream stops a job or takes more memory than its screen and its codes need.
+
 Defined cases: a null text is an empty payload of 64 zero bytes; long
-payloads are split into frames of at most ``ROWS`` rows; equal texts give
-equal media; an empty table gives an empty result; other columns are ignored.
+payloads are split into frames of at most ``ROWS`` rows; null media have no
+frames; empty media are no GIF; equal texts, repeated rows too, give equal
+media; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from pyspark.sql import functions as F
 from .textarrays import slices
 
 WIDTH, ROWS, DELAY = 64, 4096, 4
+#: Pixels of the largest screen that is read.
+PIXELS = 1 << 24
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
 
 
@@ -149,8 +158,10 @@ def _codes(stream: np.ndarray, least: int) -> list[np.ndarray]:
     return found
 
 
-def lzw_decode(stream: bytes, least: int) -> np.ndarray:
-    """The samples of a code stream."""
+def lzw_decode(stream: bytes, least: int, most: int | None = None) -> np.ndarray:
+    """The samples of a code stream, ``most`` of them at most."""
+    if least not in _WIDTHS:
+        raise ValueError("an unknown code size")
     first = (1 << least) + 2
     pieces = [p for p in _codes(np.frombuffer(stream, np.uint8), least) if len(p)]
     if not pieces:
@@ -173,6 +184,9 @@ def lzw_decode(stream: bytes, least: int) -> np.ndarray:
         live[at] = ~literal[to[at]] | (total[to[at]] > 0)
     length += total
     start = np.cumsum(length) - length
+    if most is not None and (n_kept := int(np.searchsorted(start, most))) < len(start):
+        # Entries repeat earlier ones, so what lies behind the last wanted sample is not needed.
+        literal, made, length, start, code = (x[:n_kept] for x in (literal, made, length, start, code))
     out = np.zeros(int(length.sum()), np.uint8)
     # Sources: each byte of a repeated string lies where that string was written before.
     source = np.arange(len(out))
@@ -222,15 +236,30 @@ def _row_order(height: int, interlaced: bool) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes) -> Iterator[Frame]:
-    """Frames in order, composed on the screen under disposal and transparency."""
+def _palette(data: bytes, at: int, n: int) -> np.ndarray:
+    if at + 3 * n > len(data):
+        raise IndexError
+    return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+
+
+def decode(data: bytes, most_pixels: int = PIXELS) -> Iterator[Frame]:
+    """Frames in order, composed on the screen under disposal and transparency; ValueError where the stream breaks."""
+    try:
+        yield from _decode(data, most_pixels)
+    except (struct.error, IndexError) as cut:
+        raise ValueError("the stream is cut") from cut
+
+
+def _decode(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most_pixels:
+        raise ValueError("too large a screen")
     at, palette = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
-        palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+        palette = _palette(data, at, n)
         at += 3 * n
     screen = np.zeros((height, width, 4), np.uint8)
     delay = disposal = 0
@@ -249,13 +278,15 @@ def decode(data: bytes) -> Iterator[Frame]:
         local = palette
         if bits & 0x80:
             n = 2 << (bits & 7)
-            local = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+            local = _palette(data, at, n)
             at += 3 * n
         if local is None:
             raise ValueError("no palette")
         least = data[at]
         stream, at = _read_blocks(data, at + 1)
-        index = lzw_decode(stream, least)[: w * h]
+        if w * h > most_pixels:
+            raise ValueError("too large a frame")
+        index = lzw_decode(stream, least, w * h)[: w * h]
         if len(index) < w * h:
             raise ValueError("too few samples")
         if int(index.max(initial=0)) >= len(local):
@@ -299,14 +330,22 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def _frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frames(batches: Iterable[pa.RecordBatch], most_pixels: int) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+    names = ["doc_id", "frame", "delay_ms", "disposal", "width", "height", "rgba", "histogram", "error"]
+
+    def rows_of(key: int | None, media: bytes) -> Iterator[tuple]:
+        try:
+            for i, f in enumerate(decode(media, most_pixels)):
+                yield key, i, f.delay_ms, f.disposal, f.width, f.height, f.rgba.tobytes(), histogram(f).tolist(), None
+        except ValueError as broken:
+            yield key, None, None, None, None, None, None, None, str(broken)
+
     for batch in batches:
         for key, media in zip(batch.column(0), batch.column(1), strict=True):
-            out = [(key.as_py(), i, f.delay_ms, f.disposal, f.width, f.height, f.rgba.tobytes(), histogram(f).tolist()) for i, f in enumerate(decode(media.as_py()))]
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-                names = ["doc_id", "frame", "delay_ms", "disposal", "width", "height", "rgba", "histogram"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            # One frame at a time: a screen may be large.
+            for row in rows_of(key.as_py(), media.as_py()):
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names=names)
 
 
 def _read_back(media: bytes) -> tuple[bytes, str]:
@@ -341,9 +380,13 @@ def store(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-def frames(media: DataFrame) -> DataFrame:
-    """A row for each frame of doc_id, media: timing, disposal, composed RGBA pixels and their histogram."""
-    return media.select("doc_id", "media").where("media is not null").mapInArrow(_frames, "doc_id long, frame int, delay_ms int, disposal int, width int, height int, rgba binary, histogram array<long>")
+def frames(media: DataFrame, most_pixels: int = PIXELS) -> DataFrame:
+    """A row for each frame of doc_id, media: timing, disposal, composed RGBA pixels and their histogram.
+
+    A broken stream ends with a row that has only doc_id and error.
+    """
+    schema = "doc_id long, frame int, delay_ms int, disposal int, width int, height int, rgba binary, histogram array<long>, error string"
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").where("media is not null").mapInArrow(lambda it: _frames(it, most_pixels), schema)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

@@ -5,14 +5,19 @@ P(grade > k) = logistic(w . x - theta_k) with one weight vector for all
 thresholds, theta_0 < theta_1.  x marks which words a text holds (runs of
 letters, lower-cased, as 64-bit hashes) and how dense its words' beginnings
 are, since insults are inflected; an L1 penalty leaves few weights.
-It is fitted on at most ``sample_rows`` labelled documents, taken in the order
-of a hash of doc_id.  The score is the expected grade; a document is toxic if
-P(grade > 0) reaches ``cut``.
-
-Defined cases: null and empty texts score by the thresholds alone; words that
-repeat count once; repeated rows are scored each by itself; without labels of
-both kinds nothing is toxic and the score is 0; an empty table gives an empty
-result; other columns are ignored.
+It is fitted on at most ``sample_rows`` labelled documents of ``sample_features``
+words and beginnings together, taken in the order of a hash of doc_id, so what
+comes to the driver is bounded in bytes too.  The score is the expected grade;
+a document is toxic if P(grade > 0) reaches ``cut``.
+
+Defined cases: null and empty texts score by the thresholds alone; very long
+texts are scored whole; words that repeat count once; repeated rows are scored
+each by itself, and those that share a labelled doc_id are all in the sample,
+which the number of features still bounds; of several labels of a doc_id the
+highest grade counts; where a grade has no labels the others keep their
+numbers; a score on the cut is toxic; without labels of both kinds nothing is
+toxic and the score is 0; an empty table gives an empty result; other columns,
+whatever their names, are ignored by ``score`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import BYTE_CODE, LOWER, POSITION_CODE, as_long, hash_runs, mix, slices, word_table
+from .scratch import drop, written
+from .textarrays import BYTE_CODE, LOWER, POSITION_CODE, as_long, hash_runs, mix, release, slices, word_table
 
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
@@ -38,6 +44,7 @@ class Model(NamedTuple):
     keys: np.ndarray  #: hashes of words, ascending
     weights: np.ndarray
     thetas: np.ndarray
+    levels: np.ndarray = np.arange(2)  #: the grades between which the thresholds lie, 0 first
 
 
 def _marks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,20 +116,28 @@ def fit_arrays(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_colu
     return params[:n_columns], np.sort(params[n_columns:])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_docs: int = 4, l1: float = 2e-4, steps: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, sample_features: int = 8 << 20, min_docs: int = 4, l1: float = 2e-4, steps: int = 200) -> Model:
     grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("doc_id", "grade", "text").mapInArrow(_features, "doc_id long, grade int, keys array<long>, values array<float>").toArrow().sort_by("doc_id")
+    features = written(rows.select("doc_id", "grade", "text").mapInArrow(_features, "doc_id long, grade int, keys array<long>, values array<float>"))
+    sizes = features.groupBy("doc_id").agg(F.sum(F.size("keys")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # sample_rows numbers
+    ids, left = [], sample_features
+    for doc_id, n in zip(sizes["doc_id"].to_pylist(), sizes["n"].to_pylist(), strict=True):
+        if n <= left:
+            ids.append(doc_id)
+            left -= n
+    found = (features if len(ids) == sizes.num_rows else features.where(F.col("doc_id").isin(ids))).toArrow().sort_by("doc_id")
+    drop(features)
     nothing = Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, np.inf))
     if not found.num_rows:
         return nothing
     grades = found["grade"].to_numpy()
     if not (grades > 0).any() or not (grades == 0).any():
         return nothing
-    _, grades = np.unique(grades, return_inverse=True)
-    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in found["keys"].chunks])
+    levels, grades = np.unique(grades, return_inverse=True)
+    found_sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in found["keys"].chunks])
     flat, values = (np.concatenate([x.flatten().to_numpy() for x in found[c].chunks]) for c in ("keys", "values"))
     del found
     # Keys of enough documents, without an index of all of them.
@@ -135,14 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_docs: i
     place = np.minimum(np.searchsorted(keys, flat), len(keys) - 1).astype(np.int32)
     ok = keys[place] == flat
     del flat
-    at = np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[ok]
+    at = np.repeat(np.arange(len(grades), dtype=np.int32), found_sizes)[ok]
     weights, thetas = fit_arrays(at, place[ok], values[ok], len(keys), grades, l1, steps)
-    return Model(keys[weights != 0], weights[weights != 0], thetas)
+    model = Model(keys[weights != 0], weights[weights != 0], thetas, levels)
+    del at, place, ok, values, found_sizes
+    release()
+    return model
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model, cut: float) -> Iterator[pa.RecordBatch]:
     keys = np.append(model.keys, np.int64(0))
-    n_keys = len(model.keys)
+    n_keys, steps = len(model.keys), np.diff(model.levels).astype(np.float64)
     for rows, offsets, data in slices(batches):
         row, key, n_words = _marks(offsets, data)
         place = np.searchsorted(model.keys, key)
@@ -152,7 +170,7 @@ def _score(batches: Iterable[pa.RecordBatch], model: Model, cut: float) -> Itera
         eta = np.bincount(of, model.weights[what] * _values(model.keys[what], times, n_words[of]), rows.num_rows) if len(pair) else np.zeros(rows.num_rows)
         above = logistic(eta[:, None] - model.thetas)
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0] >= cut)],
+            [rows.column(0), pa.array(above @ steps), pa.array(above[:, 0]), pa.array(model.levels[(above >= 0.5).sum(1)].astype(np.int32)), pa.array(above[:, 0] >= cut)],
             names=["doc_id", "expected_severity", "p_toxic", "grade", "toxic"],
         )
 
