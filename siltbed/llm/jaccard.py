@@ -45,6 +45,7 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -266,15 +267,30 @@ def _near(a: str, b: str, share: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {share} * greatest({a}, {b})")
 
 
-def components(docs: DataFrame, share: int = 80, chunk_bytes: int = CHUNK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id reachable by links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("spot", F.xxhash64("doc_id", "text"))
+class Groups(NamedTuple):
+    members: DataFrame  #: a row for each document: doc_id, spot (a hash of doc_id and text), k1, k2 (the words' key), n_words
+    shares: DataFrame  #: a row for each text and share of its copies
+    classes: DataFrame  #: a row for each text: node, least doc_id and spot, k1, k2
+    sizes: DataFrame  #: node, n_shingles
+    roots: DataFrame  #: node, root of the nodes that have links
+
+
+def spot(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
+def _salted(members: DataFrame) -> DataFrame:
+    return members.where("n_words > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+
+
+def groups(docs: DataFrame, share: int = 80, chunk_bytes: int = CHUNK_BYTES, part_keys: int = PART_KEYS) -> Groups:
+    """The links of a table's texts and what they join."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("spot", spot(F.col("doc_id"), F.col("text")))
     members = written(docs.select("doc_id", "spot", "text").mapInArrow(_profile, "doc_id long, spot long, k1 long, k2 long, n_words long, n_bytes long"))
     total = members.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     chunks, parts = 1 + total[0] // chunk_bytes, 1 + total[1] // part_keys
     # One row for each text and share of its copies, then one for each text, in the order of doc_id.
-    salted = members.where("n_words > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    shares = written(salted.groupBy("k1", "k2", "salt").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "spot")).alias("first")))
+    shares = written(_salted(members).groupBy("k1", "k2", "salt").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "spot")).alias("first")))
     firsts = shares.groupBy("k1", "k2").agg(F.min("first").alias("first")).select("k1", "k2", F.col("first.doc_id").alias("least"), F.col("first.spot").alias("spot"))
     classes = written(firsts.orderBy(F.col("least").asc_nulls_last(), "k1", "k2").withColumn("node", F.monotonically_increasing_id()))
 
@@ -297,15 +313,43 @@ def components(docs: DataFrame, share: int = 80, chunk_bytes: int = CHUNK_BYTES,
     second = written(_across(shared, labels, share).join(first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
     more = written(verified(second, _texts_of(second, docs, classes), share))
     roots = connected(links.unionByName(more))
+    return Groups(members, shares, classes, sizes, roots)
 
+
+def components(docs: DataFrame, share: int = 80, chunk_bytes: int = CHUNK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id reachable by links."""
+    members, shares, classes, sizes, roots = groups(docs, share, chunk_bytes, part_keys)
     # What a text's documents get, by text, then by share of its copies, then by document.
     named = roots.join(classes.select(F.col("node").alias("root"), F.col("least").alias("label")), "root").select("node", "label")
     known = classes.join(sizes, "node").join(named, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("label", "least").alias("component_id"))
     spread = shares.select("k1", "k2", "salt").join(known, ["k1", "k2"])
-    filled = salted.join(spread, ["k1", "k2", "salt"]).select("doc_id", "n_shingles", "component_id")
+    filled = _salted(members).join(spread, ["k1", "k2", "salt"]).select("doc_id", "n_shingles", "component_id")
     return filled.unionByName(members.where("n_words = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def one_of_each_group(docs: DataFrame, share: int = 80, **how: int) -> DataFrame:
+    """The rows of which each group of linked documents keeps one, with all their columns.
+
+    It is the row of least doc_id (null last), then of least key of its words; of rows that share that doc_id and
+    text the one of least hash of all columns (maps aside).  Texts without words stay, each row of them.
+    """
+    found = groups(docs, share, **how)
+    first = found.classes.join(found.roots, "node", "left").where("root is null or root = node").select(F.col("least").alias("doc_id"), "spot")
+    times = found.members.groupBy("doc_id", "spot").agg(F.count("*").alias("times")).where("times > 1")
+    named = {c.lower() for c in docs.columns}
+    own, rank = (next(f"__{what}{i}" for i in range(len(named) + 1) if f"__{what}{i}" not in named) for what in ("spot", "rank"))
+    rows = docs.withColumn(own, spot(F.col("doc_id"), F.col("text")))
+    same = lambda keys: [rows[own] == keys["spot"], rows["doc_id"].cast("long").eqNullSafe(keys["doc_id"])]
+    kept = rows.join(first, same(first), "left_semi")
+    alone = kept.join(times, same(times), "left_anti")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*plain))
+    copies = kept.join(times, same(times), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    wordless = docs.where(~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(*columns).unionByName(copies.select(*columns)).unionByName(wordless)
+
+
 def _lists(lists: DataFrame) -> DataFrame:
     """The rows of lists with two documents or more, with the list's most central document as hub."""
     hub = F.max(F.struct("common", (-F.col("node")).alias("minus"), "size", "most"))

@@ -48,13 +48,13 @@ HEX = r"(?![0-9]++(?![0-9A-Za-z]))(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+)(?![0-9A-Za-z
 DAY = r"(?:1[89]|2[01])[0-9]{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
-MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\."
+MAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}\."
 #: What ends a run of card digits before its next group, as it is searched by itself.
 OTHER = "|".join((IP, HEX, DAY, SSN, LOCAL, MAIL))
-H4 = r"[0-9A-Fa-f]{1,4}"
+H4 = r"[0-9A-Fa-f]{1,4}+"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,127}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,127}+",
     "ipv6": rf"(?<![0-9A-Za-z:.])(?:{H4}(?::{H4}){{7}}|{H4}(?::{H4}){{0,5}}::(?:{H4}(?::{H4}){{0,5}})?)(?![0-9A-Za-z:])",
     "ip": rf"(?<![0-9.]){IP}",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9])",
@@ -292,13 +292,16 @@ def _windows(m: Column) -> Column:
         return F.flatten(F.transform(starts, lambda i: let(F.struct(i.alias("at"), F.regexp_extract(F.array_join(F.slice(c["s"], i, F.lit(CARD + 1)), ""), "^[0-9 -]*", 0).alias("w")), ends)))
 
     def ends(c: Column) -> Column:
-        some = F.filter(F.sequence(F.lit(13), F.lit(CARD)), lambda n: (n <= F.length(c["w"])) & F.substring(c["w"], n, F.lit(2)).rlike("^[0-9]([^0-9]|$)"))
-        return F.filter(F.transform(some, lambda n: window(c["at"], n, F.substring(c["w"], F.lit(1), n))), lambda v: v["size"].between(13, 19) & (luhn_sum(v["digits"], 1) % 10 == 0))
+        def of(groups: Column) -> Column:
+            upto = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(groups, F.lit(1), k), "").alias("digits")))
+            some = F.filter(upto, lambda u: F.length(u["digits"]).between(13, 19) & (F.length(u["digits"]) + u["k"] <= CARD + 1))
+            return F.transform(F.filter(some, lambda u: luhn_sum(u["digits"], 1) % 10 == 0), lambda u: window(c["at"], F.length(u["digits"]) + u["k"] - 1, u["digits"]))
 
-    def window(at: Column, n: Column, w: Column) -> Column:
-        digits = F.regexp_replace(w, "[^0-9]", "")
-        usual = F.when(F.length(digits) == 16, 0).when(F.length(digits) == 15, 1).otherwise(2)
-        return F.struct((~w.rlike("^[3-6]")).alias("odd"), usual.alias("usual"), at.alias("at"), n.alias("n"), w.alias("w"), F.length(digits).alias("size"), digits.alias("digits"))
+        def window(at: Column, n: Column, digits: Column) -> Column:
+            usual = F.when(F.length(digits) == 16, 0).when(F.length(digits) == 15, 1).otherwise(2)
+            return F.struct((~digits.rlike("^[3-6]")).alias("odd"), usual.alias("usual"), at.alias("at"), n.alias("n"), F.substring(c["w"], F.lit(1), n).alias("w"))
+
+        return let(F.regexp_extract_all(c["w"], F.lit("[0-9]+"), F.lit(0)), of)
 
     run = F.struct(F.split(m, "").alias("s"), F.length(m).alias("n"))
     return F.array_sort(let(run, all_of))
@@ -379,10 +382,10 @@ def _changed(docs: DataFrame, key: Key, column: str, findings: str | None) -> Da
     text = F.col(f"`{column}`")
     # Byte searches make no copy of a text; only keys and hex tokens may do without these characters.
     worth = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in SIGNS]) | text.rlike("[a-f]{16}|[A-F]{16}")
-    found = F.when(worth, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     taken = {c.lower() for c in docs.columns}
     own = next(f"__pii{i}" for i in range(len(taken) + 1) if f"__pii{i}" not in taken)
-    rows = docs.withColumn(own, F.transform(F.when(F.size(found) > 0, found), lambda m: _finding(m, key)))
+    rows = docs.withColumn(own, F.when(worth, let(found, lambda a: F.when(F.size(a) > 0, F.transform(a, lambda m: _finding(m, key))))))
     some = F.col(own).isNotNull()
     pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(own, lambda f: f["text"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     columns = [F.when(some, F.array_join(pieces, "")).otherwise(text).alias(column) if c == column else F.col(f"`{c}`") for c in docs.columns]

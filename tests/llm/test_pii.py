@@ -231,8 +231,8 @@ def test_patterns_on_worst_texts(spark):
 
 @pytest.mark.parametrize("name", sorted(WORST))
 def test_worst_texts(spark, name):
-    # A run costs about a minute for each MB of single digits, in proportion to its length.
-    text = WORST[name][: MB // 40] if name in ("card_run", "card_many") else WORST[name]
+    # Runs of digit groups cost most, in proportion to their length.
+    text = WORST[name][: MB // 40] if name in ("card_run", "card_many", "iban", "ssn", "local") else WORST[name]
     out = P.pseudonymise(frame(spark, [text, "a@b.co"]), KEY, findings="kinds").select("doc_id", F.length("text").alias("n"), F.size("kinds").alias("found")).collect()
     assert len(out) == 2 and {r.doc_id: r.found for r in out}[1] == 1
     assert {r.doc_id: r.n for r in out}[0] == len(text)
