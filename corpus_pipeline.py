@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm import bpe, jaccard, mixing, pseudonyms, queries, toxicity
@@ -20,35 +20,49 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of any toxic grade stays under one half."""
+    """Documents whose probability of any toxic grade stays under one half.
+
+    Null and empty texts are no toxic ones and stay; repeated rows are judged alike; without labels of both kinds,
+    or with an empty table, nothing goes; columns of any name are kept.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group; rows without a doc_id stay, of rows that share one the first by text."""
-    groups = jaccard.components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return rows.unionByName(docs.where("doc_id is null"))
+    """One document of each group: the one of least doc_id.
+
+    Different texts that share a doc_id are different documents; a null doc_id comes last in its group, and is kept
+    if it has no other; of equal rows one stays; null texts and texts without words have no copies and stay; an
+    empty table stays empty; columns of any name are kept.
+    """
+    return jaccard.one_of_each_group(docs)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms of the same format.
 
-    The key is the session's, or the public one of the registered queries.
+    The key is the session's, or the public one of the registered queries.  Null and empty texts stay as they are;
+    equal values get equal pseudonyms in all rows; an empty table stays empty; columns of any name are kept.
     """
     return pseudonyms.pseudonymise(docs, spark.conf.get(pseudonyms.KEY_SETTING, queries.PUBLIC_KEY))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's documents, once for each epoch that holds them."""
+    """The mixture's documents, once for each epoch that holds them.
+
+    Null languages and sources are nodes of their own; null and empty texts hold no tokens and follow their leaf;
+    rows without a doc_id are ordered by their text and ties by all columns; an empty table stays empty; columns
+    of any name are kept.
+    """
     return mixing.select(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids."""
+    """doc_id, n_tokens, ids: a row for each row.
+
+    A null text has no tokens; null doc_ids stay null; an empty table gives no rows; other columns are left out.
+    """
     return bpe.encode(docs, public_tokenizers.path(RANKS)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
