@@ -1,22 +1,28 @@
 """LM scoring: stupid backoff over the corpus's own n-gram counts.
 
-Documents are dealt into chunks by a hash of doc_id.  A chunk counts its
-distinct n-grams (64-bit hashes of words, orders 1 to n) and sends them, with
-counts, to count tables partitioned by the leading bits of the hash; there
-the counts of all chunks are added.  The totals go back to the chunks, meet
-the exploded n-grams of each document and are summed by document.  Chunks
-carry each distinct n-gram once, so a frequent one weighs as much as a rare
-one, and the number of chunks and of table partitions follows the corpus.
-
 s(w | h) = c(h w) / c(h) if c(h w) > 0, else alpha * s(w | h without its first
 word); s(w) = c(w) / N, and half a count for a word never seen.  With
 ``leave_out`` (default) c and N exclude the document that is scored, so text
 found nowhere else backs off.
 
+The method has two forms with the same results.  ``scores_by_rows`` is plain
+DataFrame code: documents are exploded into hashed n-grams, counted in a table
+partitioned by the hash, joined to that table and summed for each document.
+Every n-gram occurrence then crosses the network several times as a row.
+``backoff_scores`` does the same steps on packed n-grams, so that they fit a
+bounded share of the input: documents are dealt into chunks by a hash of
+their id and text; a chunk's distinct n-grams (64-bit hashes, orders 1 to n)
+go with their counts to count tables partitioned by the leading bits of the
+hash; there the counts of all chunks are added; the totals go back to the
+chunks, meet the exploded n-grams of each document and are summed by document.
+Chunks carry each distinct n-gram once, so a frequent one weighs as much as a
+rare one, and the number of chunks and of table partitions follows the corpus.
+
 Defined cases: null, empty and blank texts have 0 tokens and null scores; very
 long texts are whole; repeated rows are separate documents in the counts and
-each gets its row; an empty table gives an empty result; other columns are
-ignored.
+each gets its row; rows without a doc_id, or with one that many texts share, are
+spread like others; n-grams that tie in their counts score alike; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +31,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import COUNT_SCHEMA, TOTAL_SCHEMA, add_part, split, totals_of
+from .scratch import written
 from .textarrays import LOWER, hash_runs, slices, window_hashes, word_table
 
 CHUNK_BYTES, PART_GRAMS = 8 << 20, 2_000_000
@@ -113,7 +120,35 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_ou
     size = rows.select("text").mapInArrow(_sizes, "b long, w long").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     chunks, n_all = 1 + size[0] // chunk_bytes, size[1]
     parts = 1 + order * size[1] // part_grams
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     counted = dealt.groupBy("chunk").applyInArrow(lambda t: _count_chunk(t, order, parts), COUNT_SCHEMA)
     totals = counted.groupBy("part").applyInArrow(add_part, TOTAL_SCHEMA)
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lambda d, t: _score_chunk(d, t, order, alpha, n_all, leave_out), SCHEMA)
+
+
+def scores_by_rows(docs: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool = True) -> DataFrame:
+    """doc_id, n_tokens, log_score (natural), mean_log_score, n_backed_off; every n-gram is a row."""
+    lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.transform(F.regexp_extract_all(F.coalesce(lower, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.xxhash64(w))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("n_tokens", F.size("words").cast("long"))
+    at = rows.select("row", "words", F.explode(F.expr("sequence(0, size(words) - 1)")).alias("place")).where("place >= 0 and size(words) > 0")
+    # (row, place, m, gram): the m-gram that ends at a place.
+    grams = at.select("row", "place", F.explode(F.expr(f"sequence(1, least({order}, place + 1))")).alias("m"), "words").select("row", "place", "m", F.expr("xxhash64(m, slice(words, place - m + 2, m))").alias("gram"))
+    own = written(grams.groupBy("row", "m", "gram").agg(F.count("*").alias("own")))
+    table = own.groupBy("m", "gram").agg(F.sum("own").alias("total"))
+    left = own.join(table, ["m", "gram"]).select("row", "m", "gram", (F.col("total") - (F.col("own") if leave_out else 0)).alias("count"))
+    counts = grams.join(left, ["row", "m", "gram"]).groupBy("row", "place").agg(F.map_from_entries(F.collect_list(F.struct("m", F.col("count").cast("double")))).alias("c"))
+    before = F.lag("c").over(Window.partitionBy("row").orderBy("place"))
+    n_all = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_all"))
+    known = counts.withColumn("before", before).join(rows.select("row", "n_tokens"), "row").crossJoin(F.broadcast(n_all))  # one row
+    rest = F.greatest(F.col("n_all") - (F.col("n_tokens") if leave_out else 0), F.lit(1)).cast("double")
+    score, backed = F.log(F.greatest(F.col("c")[1], F.lit(0.5))) - F.log(rest), F.col("c")[1] <= 0
+    for m in range(2, order + 1):
+        here = F.try_element_at("c", F.lit(m))
+        history = F.try_element_at("before", F.lit(m - 1))
+        score = F.when(here.isNull(), score).when(here > 0, F.log(here / F.greatest(history, here))).otherwise(score + F.log(F.lit(alpha)))
+        backed = F.when(here.isNull(), backed).otherwise(here <= 0)
+    sums = known.groupBy("row").agg(F.sum(score).alias("log_score"), F.sum(backed.cast("long")).alias("n_backed_off"))
+    out = rows.join(sums, "row", "left")
+    return out.select("doc_id", "n_tokens", "log_score", (F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"), F.coalesce("n_backed_off", F.lit(0)).cast("long").alias("n_backed_off"))

@@ -12,10 +12,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.llm import bpe, gif, licenses, quality, queries, textarrays, toxicity
+from siltbed.llm import bpe, gif, licenses, ngram_lm, quality, queries, textarrays, toxicity
 
 from ..conftest import SF
-from .test_text_operators import LIBRARY, PATH, WORD
+from .test_text_operators import LIBRARY, PATH, WORD, brute_lm
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -329,3 +329,28 @@ def test_ratio_and_verdict_equal_a_plain_version(spark):
         assert r.llr == pytest.approx(llr, abs=1e-9)
         assert r.kept == (not r.base_failed and r.llr >= -0.1)
     assert queries.QUERIES["op10_quality_rules"](spark, SF).count() == docs.count()
+
+
+# ---- op3
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_both_forms_of_backoff_equal_a_plain_version(spark, order):
+    r = random.Random(order)
+    rows = [(i, " ".join(r.choice("abcdeFGH") for _ in range(r.randrange(0, 40)))) for i in range(60)] + [(99, None), (98, " "), (97, "a"), (96, "zz zz zz")]
+    docs = frame(spark, rows)
+    packed = {x.doc_id: x for x in ngram_lm.backoff_scores(docs, order, chunk_bytes=300, part_grams=50).collect()}
+    plain = {x.doc_id: x for x in ngram_lm.scores_by_rows(docs, order).collect()}
+    for i, (n, s) in brute_lm(rows, order).items():
+        for got in (packed[i], plain[i]):
+            assert got.n_tokens == n and (got.log_score is None if n == 0 else got.log_score == pytest.approx(s, abs=1e-6))
+        assert packed[i].n_backed_off == plain[i].n_backed_off
+
+
+def test_backoff_of_rows_without_ids_and_of_equal_rows(spark):
+    rows = [(None, f"w{i} common words here") for i in range(30)] + [(5, "same id other text"), (5, "common words here"), (5, "common words here"), (None, None)]
+    docs = frame(spark, rows)
+    packed = ngram_lm.backoff_scores(docs, 3, chunk_bytes=100, part_grams=20).collect()
+    plain = ngram_lm.scores_by_rows(docs, 3).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_backed_off, round(r.log_score or 0, 6))
+    assert len(packed) == len(rows) and sorted(map(key, packed)) == sorted(map(key, plain))
