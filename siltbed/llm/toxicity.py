@@ -37,6 +37,8 @@ LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 #: Lengths in bytes of the beginnings of words, and the share of words at which one counts in full.
 BEGINNINGS, DENSE = (4, 5, 6, 7), 25.0
+#: Entries of the sample that the driver handles at a time, and parts in which it gets them.
+STRETCH, PARTS = 1 << 19, 4
 SCHEMA = "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean"
 
 
@@ -91,6 +93,14 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _sums(to: np.ndarray, of: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Sums of weights[of] * values by ``to``, a stretch of entries at a time."""
+    total = np.zeros(n)
+    for i in range(0, len(to), STRETCH):
+        total += np.bincount(to[i : i + STRETCH], weights[of[i : i + STRETCH]] * values[i : i + STRETCH], n)
+    return total
+
+
 def fit_arrays(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_columns: int, grades: np.ndarray, l1: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by proximal Adam; rows, columns and values list the entries that are not 0."""
     n, top = len(grades), int(grades.max())
@@ -101,13 +111,13 @@ def fit_arrays(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_colu
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, steps + 1):
         w, theta = params[:n_columns], np.sort(params[n_columns:])
-        eta = np.bincount(rows, w[columns] * values, n)
+        eta = _sums(rows, columns, values, w, n)
         edges = np.concatenate([[-np.inf], theta, [np.inf]])
         high, low = logistic(edges[grades + 1] - eta), logistic(edges[grades] - eta)
         p = np.maximum(high - low, 1e-9)
         d_eta = 1 - high - low
         d_theta = np.array([(low * (1 - low) / p)[grades == k + 1].sum() - (high * (1 - high) / p)[grades == k].sum() for k in range(top)])
-        gradient = np.concatenate([np.bincount(columns, d_eta[rows] * values, n_columns), d_theta]) / n
+        gradient = np.concatenate([_sums(columns, rows, values, d_eta, n_columns), d_theta]) / n
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         rate = 0.1 * (1 - 0.5 * t / steps)
         step = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -128,34 +138,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, sample_feat
         if n <= left:
             ids.append(doc_id)
             left -= n
-    found = (features if len(ids) == sizes.num_rows else features.where(F.col("doc_id").isin(ids))).toArrow().sort_by("doc_id")
+    chosen = features if len(ids) == sizes.num_rows else features.where(F.col("doc_id").isin(ids))
+    # Keys of enough documents are found and numbered in tasks; the driver gets numbers, a part at a time.
+    known_keys = chosen.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key")
+    keys = np.sort(known_keys.toArrow()["key"].to_numpy().astype(np.int64))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    entries = [_entries(chosen.where(part == i).mapInArrow(lambda it: _numbered(it, keys), "doc_id long, grade int, places array<int>, values array<float>").toArrow().sort_by("doc_id")) for i in range(PARTS)]
     drop(features)
-    nothing = Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, np.inf))
-    if not found.num_rows:
-        return nothing
-    grades = found["grade"].to_numpy()
-    if not (grades > 0).any() or not (grades == 0).any():
-        return nothing
+    before = np.cumsum([0, *(len(e[0]) for e in entries)])
+    at = np.concatenate([e[1] + np.int32(b) for e, b in zip(entries, before[:-1], strict=True)])
+    grades, place, values = (np.concatenate([e[i] for e in entries]) for i in (0, 2, 3))
+    del entries
+    if not len(keys) or not (grades > 0).any() or not (grades == 0).any():
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, np.inf))
     levels, grades = np.unique(grades, return_inverse=True)
-    found_sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in found["keys"].chunks])
-    flat, values = (np.concatenate([x.flatten().to_numpy() for x in found[c].chunks]) for c in ("keys", "values"))
-    del found
-    # Keys of enough documents, without an index of all of them.
-    order = np.sort(flat)
-    first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
-    keys = order[first[np.diff(np.append(first, len(order))) >= min_docs]]
-    del order, first
-    if not len(keys):
-        return nothing
-    place = np.minimum(np.searchsorted(keys, flat), len(keys) - 1).astype(np.int32)
-    ok = keys[place] == flat
-    del flat
-    at = np.repeat(np.arange(len(grades), dtype=np.int32), found_sizes)[ok]
-    weights, thetas = fit_arrays(at, place[ok], values[ok], len(keys), grades, l1, steps)
-    model = Model(keys[weights != 0], weights[weights != 0], thetas, levels)
-    del at, place, ok, values, found_sizes
+    weights, thetas = fit_arrays(at, place, values, len(keys), grades, l1, steps)
+    del at, place, values
     release()
-    return model
+    return Model(keys[weights != 0], weights[weights != 0], thetas, levels)
+
+
+def _numbered(batches: Iterable[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys by their places in ``keys``; others are left out."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        place = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0)).astype(np.int32)
+        ok = keys[place] == flat if len(keys) else np.zeros(len(flat), bool)
+        ends = np.append(0, np.cumsum(np.bincount(row[ok], minlength=len(lists)))).astype(np.int32)
+        columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (place[ok], batch.column(3).flatten().to_numpy()[ok])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "grade", "places", "values"])
+
+
+def _entries(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(grades, row of each entry, its place, its value)."""
+    part = part.combine_chunks()
+    if not part.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    places, values = part["places"].combine_chunks(), part["values"].combine_chunks()
+    row = np.repeat(np.arange(part.num_rows, dtype=np.int32), np.diff(places.offsets.to_numpy()))
+    return part["grade"].to_numpy().astype(np.int64), row, places.flatten().to_numpy(), values.flatten().to_numpy()
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model, cut: float) -> Iterator[pa.RecordBatch]:
